@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, sharding, simhash
+import public_tokenizers
+
+from sparkloom.llm import byte_bpe, exact_dedup, packing, sharding, simhash, token_counts
 from sparkloom.plans.registry import load
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,11 +18,27 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+#: The vocabulary as a tokenizer file and as ranks, and the pattern that splits texts.
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack(load(spark, sf_dir, "documents"), *BYTE_BPE)
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_rows(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op6_sharding)}
+def op7_token_counts(spark, sf_dir):
+    return token_counts.count_by_section(load(spark, sf_dir, "documents"), *BYTE_BPE)
+
+
+def op8_byte_bpe(spark, sf_dir):
+    return byte_bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op5_packing, op6_sharding, op7_token_counts, op8_byte_bpe)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
