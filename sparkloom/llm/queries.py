@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sparkloom.llm import byte_bpe, exact_dedup, packing, sharding, simhash, token_counts
+from sparkloom.llm import ann, byte_bpe, exact_dedup, packing, quality, sharding, simhash, token_counts, url_filter, warc
 from sparkloom.plans.registry import load
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -18,6 +18,20 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
+#: (verdict, host/path), as the contract of op4 gives them.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, URL_RULES, url_filter.NameModel(url_filter.title_words(pages)))
+
+
 #: The vocabulary as a tokenizer file and as ranks, and the pattern that splits texts.
 BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -38,7 +52,16 @@ def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op5_packing, op6_sharding, op7_token_counts, op8_byte_bpe)}
+def op9_warc(spark, sf_dir):
+    return warc.archive_digests(load(spark, sf_dir, "pages"))
+
+
+def op10_nearest(spark, sf_dir):
+    return ann.nearest(load(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_simhash, op2_exact_dedup, op3_quality, op4_url_filter, op5_packing, op6_sharding, op7_token_counts, op8_byte_bpe, op9_warc, op10_nearest)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
