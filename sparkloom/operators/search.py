@@ -21,10 +21,11 @@ def scores(vectors: DataFrame, queries: Column, blocks: int = 8, id_col: str = "
 
     Queries are dealt to ``blocks`` by a hash of their id, and each vector meets each block once.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-    q = rows.where(queries).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("query_id"), F.col(vec_col).alias("__q"))
-    v = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col(id_col).alias("vec_id"), F.col(vec_col).alias("__v"))
-    return q.join(v, "block").where("query_id <> vec_id").select("query_id", "vec_id", cosine(F.col("__q"), F.col("__v")).alias("score"))
+    v = F.col(vec_col).cast("array<double>")
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).select(id_col, v.alias(vec_col), F.sqrt(dot(v, v)).alias("__n"))
+    q = rows.where(queries).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("query_id"), F.col(vec_col).alias("__q"), F.col("__n").alias("__m"))
+    v = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col(id_col).alias("vec_id"), F.col(vec_col).alias("__v"), "__n")
+    return q.join(v, "block").where("query_id <> vec_id").select("query_id", "vec_id", (dot(F.col("__q"), F.col("__v")) / (F.col("__m") * F.col("__n"))).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
