@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -22,7 +23,7 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of text that are encoded together; longer texts are cut at a safe space.
 _TOGETHER = 1 << 20
 #: Distinct chunks and ids that a worker remembers between batches of texts.
-_CACHED_CHUNKS, _CACHED_IDS = 300_000, 2_000_000
+_CACHED_CHUNKS, _CACHED_IDS = 120_000, 1_000_000
 #: Pieces over this many bytes leave the matrices for a heap: a row of a matrix costs the square of its length.
 _MATRIX_BYTES = 256
 _CELLS = 1 << 20
@@ -42,14 +43,14 @@ def segments(text: str, size: int = _TOGETHER) -> Iterator[str]:
 
 
 class _Codes(dict):
-    """Chunk -> code; a chunk not seen before gets the next code and is noted."""
+    """Chunk -> code; a chunk not seen before gets the encoder's next code and waits to be encoded."""
 
-    def __init__(self, noted: list[str], prefix: str):
-        self.noted, self.prefix = noted, prefix
+    def __init__(self, encoder: ChunkEncoder, prefix: str):
+        self.encoder, self.prefix = encoder, prefix
 
     def __missing__(self, chunk: str) -> int:
-        code = self[chunk] = len(self.noted)
-        self.noted.append(self.prefix + chunk)
+        code = self[chunk] = len(self.encoder.size) + len(self.encoder.new)
+        self.encoder.new.append(self.prefix + chunk)
         return code
 
 
@@ -67,8 +68,8 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.noted: list[str] = []
-        self.head, self.tail = _Codes(self.noted, ""), _Codes(self.noted, " ")
+        self.new: list[str] = []
+        self.head, self.tail = _Codes(self, ""), _Codes(self, " ")
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _codes(self, part: str) -> np.ndarray:
@@ -79,13 +80,13 @@ class ChunkEncoder:
         return np.concatenate([[self.head[chunks[0]]], out])
 
     def _learn(self) -> None:
-        new = self.noted[len(self.size) :]
-        if not new:
+        if not self.new:
             return
-        ids, size = self.encode_new(new)
+        ids, size = self.encode_new(self.new)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, ids])
+        self.new = []
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         return take_runs(self.flat, self.start[codes], self.size[codes])
@@ -109,7 +110,7 @@ class ChunkEncoder:
         self._learn()
         for parts in waiting:
             yield self._gather(parts[0]) if len(parts) == 1 else np.concatenate([self._gather(p) for p in parts])
-        if len(self.noted) > _CACHED_CHUNKS or len(self.flat) > _CACHED_IDS:
+        if len(self.size) > _CACHED_CHUNKS or len(self.flat) > _CACHED_IDS:
             self._forget()
 
 
@@ -302,12 +303,19 @@ def library_codec(json_path: str, rank_path: str | None, pattern: str) -> Callab
     faster library; other chunks, and texts that hold an added token, go to the
     tokenizer itself.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(json_path)
-    added = [t.content for t in tok.get_added_tokens_decoder().values()]
-    slow = lambda text: tok.encode(text, add_special_tokens=False).ids
+    with open(json_path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens") or ()]
     quick = None
+
+    @lru_cache(maxsize=1)
+    def tokenizer():  # large, and seldom needed beside the ranks
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_path)
+
+    def slow(text: str) -> list[int]:
+        return tokenizer().encode(text, add_special_tokens=False).ids
+
     if rank_path:
         import tiktoken
 
