@@ -15,7 +15,7 @@ BUCKETS, GRAMS = 1 << 18, (2, 3, 4)
 #: Word n-grams of one repeated word: an indicator for each length that a text reaches.
 REPEATS = (3, 5, 10)
 #: The classifier is fitted on at most this many labelled rows, chosen by a hash of their id.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 #: Bytes of a text whose n-grams are looked up at a time.
 _CHUNK = 1 << 20
 
@@ -95,8 +95,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
         counts[int(y[i]), rows[i]] += 1
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
 
-    values = [ratio[r] * values_of(r) for r in rows]
-    square = np.array([v @ v + 1 for v in values])  # the 1 is the bias
+    values = [(ratio[r] * values_of(r)).astype(np.float32) for r in rows]
+    square = np.array([float(v @ v) + 1 for v in values])  # the 1 is the bias
     w, bias, dual, sign = np.zeros(len(ratio)), 0.0, np.zeros(len(y)), np.where(y > 0, 1.0, -1.0)
     for _ in range(epochs):
         worst = 0.0
