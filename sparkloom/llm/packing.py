@@ -127,15 +127,24 @@ def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """Pack ``histogram[l]`` pieces of each length l into few sequences.
 
     The fractional solution is rounded down configuration by configuration;
-    the rest is rounded by filling each longest piece left with the best-priced
-    pieces left, while such configurations are tight; what then remains is
-    packed best-fit decreasing, into the room of the sequences so far first.
+    what then remains is packed best-fit decreasing, into the room of the
+    sequences so far first. A second rounding fills, before that, each longest
+    piece left with the best-priced pieces left, while such configurations are
+    tight. The rounding with fewer sequences is the plan.
     """
-    demand = histogram.astype(np.int64).copy()
     plan = Plan(capacity)
-    if not demand.any():
+    if not histogram.any():
         return plan
-    prices, x = solve_lp(demand, capacity)
+    prices, x = solve_lp(histogram.astype(np.int64), capacity)
+    rounded = [_round(histogram.astype(np.int64), prices, x, capacity, fill) for fill in (True, False)]
+    for config, n in min(rounded, key=lambda r: sum(r.values())).items():
+        plan.add(config, n)
+    return plan
+
+
+def _round(demand: np.ndarray, prices: np.ndarray, x: dict[tuple[int, ...], float], capacity: int, fill: bool) -> dict[tuple[int, ...], int]:
+    """Sequences per configuration that hold exactly ``demand``."""
+    demand = demand.copy()
     loose: dict[tuple[int, ...], int] = {}
 
     def take(config: list[int] | tuple[int, ...], most: int) -> int:
@@ -150,12 +159,10 @@ def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
     for config, v in sorted(x.items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0])):
         if sum(config) >= capacity - 2:
             take(config, int(v))
-    for slack in (0, 0, 0, 0, 1, 1, 2, 4, 8):
+    for slack in (0, 0, 0, 0, 1, 1, 2, 4, 8) if fill else ():
         while _fill_round(demand, prices, capacity, slack, take):
             pass
-    for config, n in _best_fit(demand, loose, capacity).items():
-        plan.add(config, n)
-    return plan
+    return _best_fit(demand, loose, capacity)
 
 
 def _fill_round(demand: np.ndarray, prices: np.ndarray, capacity: int, slack: int, take: Callable) -> int:
