@@ -1,3 +1,3 @@
 """Queries; importing the package registers them."""
 
-from sparkloom.plans import core  # noqa: F401
+from sparkloom.plans import core, more  # noqa: F401
