@@ -20,6 +20,8 @@ HASH_SEED = 42
 _CHUNK = 1 << 18
 #: Largest bucket whose members are compared in one task; larger ones use `_hub_links`.
 BUCKET_MEMBERS = 2048
+#: Fingerprints with more than one in so many rows meet their component by broadcast; there are fewer of them than this.
+HOT_SHARE = 5000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -187,13 +189,18 @@ def simhash_components(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
     fingerprint before any search, so their number does not matter.
     """
     fps = materialize(with_fingerprints(docs, id_col, text_col), "simhash-fps")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     labels = connected_components(near_links(classes.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
     linked = labels.join(classes, "fp")
     firsts = linked.groupBy("label").agg(F.min("first_id").alias("least"))
     linked = linked.join(firsts, "label").select("fp", "least", F.lit(True).alias("linked"))
-    classes = classes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first_id")).alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    component = F.when(F.col("linked"), F.col("least")).otherwise(F.col("first_id"))
+    classes = materialize(classes.join(linked, "fp", "left").select("fp", "n", component.alias("component_id")), "simhash-classes")
+    # fewer than HOT_SHARE fingerprints can each have more than 1/HOT_SHARE of the rows: their rows stay where they are
+    hot = F.broadcast(classes.where(F.col("n") * HOT_SHARE > fps.count()).select("fp", "component_id"))
+    rare = fps.join(hot.select("fp"), "fp", "left_anti").join(classes.select("fp", "component_id"), "fp")
+    found = fps.join(hot, "fp").select("doc_id", "fp", "component_id").unionByName(rare.select("doc_id", "fp", "component_id"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
