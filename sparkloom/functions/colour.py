@@ -63,3 +63,28 @@ def band_shares(degrees: Column) -> Column:
         pair = F.array(F.struct(F.lit(i).alias("band"), (1 - part).alias("share")), F.struct(F.lit((i + 1) % len(HUE_CENTRES)).alias("band"), part.alias("share")))
         out = F.when((h >= ends[i]) & (h < ends[i + 1]), pair).otherwise(out)
     return out
+
+
+def to_hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue in degrees, saturation and lightness; greys have hue and saturation 0."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = 1 - F.abs(top + low - 1)
+    return hue(r, g, b), F.when((top > low) & (span > 0), (top - low) / span).otherwise(0.0), (top + low) / 2
+
+
+def from_hsl(h: Column, s: Column, l: Column) -> tuple[Column, Column, Column]:  # noqa: E741
+    """Red, green and blue of `to_hsl`."""
+    a = s * F.least(l, 1 - l)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(n + h / 30, F.lit(12.0))
+        return l - a * F.greatest(F.least(k - 3, 9 - k, F.lit(1.0)), F.lit(-1.0))
+
+    return channel(0), channel(8), channel(4)
+
+
+def more_colour(r: Column, g: Column, b: Column, amount: Column | float) -> tuple[Column, Column, Column]:
+    """Channels moved away from (or, below 0, towards) the luma by 1 + amount, and clamped to 0 .. 1; -1 gives greys."""
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    move = lambda v: F.least(F.greatest(y + (v - y) * (1 + amount), F.lit(0.0)), F.lit(1.0))
+    return move(r), move(g), move(b)

@@ -1,11 +1,11 @@
-"""Registered queries over keyed records, outlines, knots and markup."""
+"""Registered queries over keyed records, outlines, knots, markup and measures."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import markup
-from sparkloom.operators import knots, outlines, records
+from sparkloom.functions import colour, markup
+from sparkloom.operators import knots, measures, outlines, records
 from sparkloom.plans.registry import load, query
 
 c = F.col
@@ -180,3 +180,83 @@ def _(spark, d):
 def _(spark, d):
     marked = F.concat(F.lit("​"), c("text"), F.lit("﻿⁠"))
     return load(spark, d, "documents").select("doc_id", markup.strip_invisible(marked).alias("clean"))
+
+
+# --------------------------------------------------------------- measures
+
+_BINS = """h AS (SELECT l_returnflag AS k, l_linestatus = 'F' AS s, least(greatest(floor((l_extendedprice - 0) / (120000.0::DOUBLE / 256)), 0), 255) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY k, s ORDER BY bin) AS c, sum(n) OVER (PARTITION BY k, s) AS t FROM h),
+    q AS (SELECT k, s, i AS step, arg_min(120000.0::DOUBLE / 256 * (bin + (i * t / 20 - (c - n)) / n), bin) AS quantile FROM c, range(21) r(i) WHERE c * 20 >= i * t GROUP BY 1, 2, 3)"""
+
+
+@query("binned_quantiles", f"WITH {_BINS} SELECT k || s AS key, step::INT AS step, round(quantile, 4) AS quantile FROM q")
+def _(spark, d):
+    rows = load(spark, d, "lineitem").withColumn("key", F.concat("l_returnflag", (c("l_linestatus") == "F").cast("string")))
+    return _rounded(measures.binned_quantiles(rows, "key", c("l_extendedprice"), 0.0, 120000.0, 256, 20), {"quantile": 4})
+
+
+@query("quantile_gap", """WITH h AS (SELECT o_orderpriority AS k, o_orderstatus = 'F' AS s, least(greatest(floor(o_totalprice / (600000.0::DOUBLE / 1024)), 0), 1023) AS bin, count(*) AS n FROM orders GROUP BY 1, 2, 3),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY k, s ORDER BY bin) AS c, sum(n) OVER (PARTITION BY k, s) AS t FROM h),
+    q AS (SELECT k, s, i AS step, arg_min(600000.0::DOUBLE / 1024 * (bin + (i * t / 20 - (c - n)) / n), bin) AS quantile FROM c, range(21) r(i) WHERE c * 20 >= i * t GROUP BY 1, 2, 3)
+    SELECT a.k AS o_orderpriority, round(avg(abs(a.quantile - b.quantile)), 3) AS gap FROM q a JOIN q b ON a.k = b.k AND a.step = b.step AND a.s AND NOT b.s GROUP BY 1""")
+def _(spark, d):
+    return _rounded(measures.quantile_gap(load(spark, d, "orders"), "o_orderpriority", c("o_orderstatus") == "F", c("o_totalprice"), 0.0, 600000.0), {"gap": 3})
+
+
+@query("mass_bands", """WITH s AS (SELECT l_returnflag, l_quantity, sum(l_linenumber) AS w FROM lineitem GROUP BY 1, 2),
+    m AS (SELECT *, floor(5 * (sum(w) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - w / 2) / sum(w) OVER (PARTITION BY l_returnflag))::INT AS band FROM s)
+    SELECT l_returnflag, band, min(l_quantity) AS low, max(l_quantity) AS high, sum(w)::BIGINT AS mass FROM m GROUP BY 1, 2""")
+def _(spark, d):
+    return measures.mass_bands(load(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_linenumber", 5)
+
+
+@query("largest_reversal", """WITH b AS (SELECT p_brand, p_size, avg(p_retailprice) AS v FROM part GROUP BY 1, 2), m AS (SELECT p_brand, max(v) OVER (PARTITION BY p_brand ORDER BY p_size) - v AS d FROM b)
+    SELECT p_brand, round(max(d), 6) AS reversal FROM m GROUP BY 1""")
+def _(spark, d):
+    bins = load(spark, d, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("v"))
+    return _rounded(measures.largest_reversal(bins, "p_brand", "p_size", "v"), {"reversal": 6})
+
+
+@query("consensus", """WITH r AS (SELECT c_nationkey AS k, c_acctbal AS v, length(c_mktsegment) AS w FROM customer), c AS (SELECT k, v, sum(sum(w)) OVER (PARTITION BY k ORDER BY v) AS c, sum(sum(w)) OVER (PARTITION BY k) AS t FROM r GROUP BY k, v),
+    m AS (SELECT k, min(v) AS q FROM c WHERE c >= 0.5 * t GROUP BY 1), o AS (SELECT k, any_value(q) AS q, sum(CASE WHEN sign(v) * sign(q) < 0 THEN w ELSE 0 END) / sum(w) AS opposed FROM r JOIN m USING (k) GROUP BY 1)
+    SELECT k AS c_nationkey, CASE WHEN opposed >= 0.1 THEN 0 ELSE q END AS consensus, round(opposed, 9) AS opposed FROM o""")
+def _(spark, d):
+    rows = load(spark, d, "customer").withColumn("w", F.length("c_mktsegment"))
+    return _rounded(measures.consensus(rows, "c_nationkey", "c_acctbal", "w", 0.1), {"opposed": 9})
+
+
+@query("biweight_mean", """WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1), d AS (SELECT e.event_type, value, med, abs(value - med) AS d FROM events e JOIN m USING (event_type)),
+    s AS (SELECT event_type, median(d) AS mad FROM d GROUP BY 1), u AS (SELECT event_type, value, (value - med) / (4.685 * greatest(1.4826 * mad, 1e-9)) AS u FROM d JOIN s USING (event_type)),
+    w AS (SELECT *, CASE WHEN abs(u) < 1 THEN power(1 - u*u, 2) ELSE 0 END AS w FROM u) SELECT event_type, round(sum(w * value) / sum(w), 7) AS mean, count(value) AS n FROM w GROUP BY 1""")
+def _(spark, d):
+    return _rounded(measures.biweight_mean(load(spark, d, "events"), "event_type", "value"), {"mean": 7})
+
+
+@query("fused_frames", """WITH w AS (SELECT l_partkey, l_quantity / 51 AS v, CASE WHEN l_discount > 0.03 THEN exp(-power(l_quantity / 51 - 0.5, 2) / 0.08) ELSE 0 END AS w FROM lineitem)
+    SELECT l_partkey, round(CASE WHEN sum(w) > 0 THEN sum(w * v) / sum(w) ELSE avg(v) END, 8) AS value FROM w GROUP BY 1""")
+def _(spark, d):
+    v = c("l_quantity") / 51
+    return _rounded(measures.fused(load(spark, d, "lineitem"), ["l_partkey"], v, F.when(c("l_discount") > 0.03, colour.well_exposed(v)).otherwise(0.0)), {"value": 8})
+
+
+@query("sharpest_frame", """SELECT l_partkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_quantity DESC) AS r FROM (SELECT DISTINCT l_partkey, l_orderkey, l_quantity, l_extendedprice FROM lineitem)) WHERE r = 1""")
+def _(spark, d):
+    return measures.sharpest(load(spark, d, "lineitem"), ["l_partkey"], "l_orderkey", "l_quantity", c("l_extendedprice"))
+
+
+@query("peak_noise_ratio", "SELECT l_returnflag, l_linestatus, round(10 * log10(1 / greatest(avg(power(l_tax - l_discount, 2)), 1e-12)), 7) AS psnr FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    return _rounded(measures.peak_noise_ratio(load(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], c("l_tax"), c("l_discount")), {"psnr": 7})
+
+
+@query("hsl_round_trip", "SELECT l_orderkey, l_linenumber, round(l_discount, 9) AS r, round(l_tax, 9) AS g, round(l_quantity / 50, 9) AS b FROM lineitem")
+def _(spark, d):
+    hsl = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(x.alias(n) for n, x in zip("hsl", colour.to_hsl(c("l_discount"), c("l_tax"), c("l_quantity") / 50))))
+    return hsl.select("l_orderkey", "l_linenumber", *(F.round(x, 9).alias(n) for n, x in zip("rgb", colour.from_hsl(c("h"), c("s"), c("l")))))
+
+
+@query("more_colour", """WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 9 AS r, l_tax * 12 AS g, l_quantity / 50 AS b FROM lineitem), y AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS y FROM p)
+    SELECT l_orderkey, l_linenumber, round(least(greatest(y + (r - y) * 1.4, 0), 1), 8) AS r, round(least(greatest(y + (g - y) * 1.4, 0), 1), 8) AS g, round(least(greatest(y + (b - y) * 1.4, 0), 1), 8) AS b FROM y""")
+def _(spark, d):
+    moved = colour.more_colour(c("l_discount") * 9, c("l_tax") * 12, c("l_quantity") / 50, 0.4)
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(x, 8).alias(n) for n, x in zip("rgb", moved)))

@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import markup
-from sparkloom.operators import knots, outlines, records
+from sparkloom.functions import colour, markup
+from sparkloom.operators import knots, measures, outlines, records
 
 
 def test_nearest_within_against_brute_force(spark):
@@ -81,3 +81,41 @@ def test_text_of_points_and_fractions(spark):
     df = spark.createDataFrame([("<li> 3 ,4</li><li>256, 0</li><li>x,1</li>", "3/4", "a​b"), (None, "1/0", None), ("", " 2.5 ", ""), ("<li>1</li>", "1/2/3", "é")], "p string, f string, s string")
     got = [([tuple(p) for p in r[0]] if r[0] is not None else None, r[1], r[2]) for r in df.select(markup.curve_points(F.col("p")), markup.fraction(F.col("f")), markup.strip_invisible(F.col("s"))).collect()]
     assert got == [([(3, 4)], 0.75, "ab"), (None, None, None), ([], 2.5, ""), ([], None, "é")]
+
+
+def test_binned_quantiles_of_even_values_and_clamped_ends(spark):
+    df = spark.createDataFrame([("a", float(i) + 0.5) for i in range(100)] + [("b", -5.0), ("b", 900.0), (None, 1.0), ("c", None)], "k string, v double")
+    got = {(r.k, r.step): r.quantile for r in measures.binned_quantiles(df, "k", F.col("v"), 0.0, 100.0, 50, 4).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "a"} == {("a", i): 25.0 * i for i in range(5)}
+    assert got["b", 0] == 0.0 and got["b", 2] == 2.0 and got["b", 4] == 100.0 and len(got) == 10
+
+
+def test_gap_of_shifted_sides(spark):
+    df = spark.createDataFrame([("a", s, float(i % 50) + 10 * s) for i in range(1000) for s in (0, 1)] + [("b", 1, 3.0)], "k string, s int, v double")
+    (row,) = measures.quantile_gap(df, "k", F.col("s") == 1, F.col("v"), 0.0, 128.0, 128).collect()
+    assert row.k == "a" and abs(row.gap - 10) < 1e-9
+
+
+def test_consensus_gives_way_to_opposition(spark):
+    df = spark.createDataFrame([("a", 1.0, 3.0), ("a", -1.0, 1.0), ("b", 2.0, 9.0), ("b", -2.0, 1.0), ("b", None, 5.0), ("b", 4.0, 0.0)], "k string, v double, w double")
+    assert {r.k: (r.consensus, r.opposed) for r in measures.consensus(df, "k", "v", "w", 0.25).collect()} == {"a": (0.0, 0.25), "b": (2.0, 0.1)}
+
+
+def test_biweight_leaves_far_values_out_and_equal_values_alone(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 5, 1000)] + [("b", 7.0)] * 3 + [("c", None)], "k string, v double")
+    got = {r.k: (r["mean"], r.n) for r in measures.biweight_mean(df, "k", "v").collect()}
+    assert 2.5 < got["a"][0] < 3.5 and got["a"][1] == 6 and got["b"] == (7.0, 3) and "c" not in {k for k, v in got.items() if v[0] is not None}
+
+
+def test_frames_without_weight_or_detail(spark):
+    df = spark.createDataFrame([(1, 1, 2.0, 0.0), (1, 2, 4.0, None), (2, 1, 2.0, 1.0), (2, 2, 6.0, 3.0), (3, 1, None, 1.0), (4, 2, 5.0, 1.0), (4, 1, 8.0, 1.0)], "c int, f int, v double, w double")
+    assert {r.c: r.value for r in measures.fused(df, ["c"], F.col("v"), F.col("w")).collect()} == {1: 3.0, 2: 5.0, 4: 6.5}
+    assert {r.c: (r.f, r.v) for r in measures.sharpest(df, ["c"], "f", "v", F.col("w")).collect()} == {1: (1, 2.0), 2: (2, 6.0), 4: (1, 8.0)}
+
+
+def test_greys_and_pure_colours_in_hsl(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.5, 0.5, 0.5), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.2, 0.2, 0.9)], "r double, g double, b double")
+    rows = df.select("*", *(x.alias(n) for n, x in zip("hsl", colour.to_hsl(F.col("r"), F.col("g"), F.col("b"))))).collect()
+    assert [round(r.h) for r in rows] == [0, 0, 0, 0, 120, 240] and [r.s for r in rows][:5] == [0, 0, 0, 1, 1]
+    grey = df.select(*colour.more_colour(F.col("r"), F.col("g"), F.col("b"), -1.0)).collect()
+    assert all(abs(r[0] - r[1]) < 1e-12 and abs(r[1] - r[2]) < 1e-12 for r in grey)
