@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import __spark_entry__ as entry
 
@@ -31,3 +33,29 @@ def test_stages_and_rows(spark, sf_dir):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_near_stage_drops_all_near_copies_by_their_texts(spark, sf_dir):
+    rng, rows = random.Random(5), [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (9, "x"), (9, "y z"), (None, "x"), (5, "same row"), (5, "same row"), (None, "lone text of nobody")]
+    for group in range(4):
+        base = ["g%dw%d" % (group, rng.randrange(300)) for _ in range(120)]
+        for i in range(90 if group == 0 else 12):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(120)] = "v%d" % rng.randrange(10**6)
+            rows.append((100 * (group + 1) + i, " ".join(words)))
+    line = "this very common line is a part of all these texts"
+    rows += [(1000 + i, " ".join([line] + ["u%d" % rng.randrange(10**6) for _ in range(rng.randrange(3, 12))])) for i in range(100)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in [(t or "").lower().split() for _, t in rows]]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old = label[a]
+                label = [label[b] if x == old else x for x in label]
+    want = {min((rows[i] for i in range(len(rows)) if label[i] == k), key=lambda r: (r[0] is None, r[0])) for k in set(label)}
+    out = corpus_pipeline.near_dedup_stage(spark, df, sf_dir)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(want) and {i for i, _ in got} == {i for i, _ in want} and sum(i == 9 for i, _ in got) == 2
