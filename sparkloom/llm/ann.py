@@ -82,10 +82,17 @@ class CentroidGraph:
         row, col = np.nonzero(take)
         return row, order[row, col]
 
-    def lists_to_read(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for all lists whose centroid is within ``ratio`` times the nearest one's distance."""
+    def lists_to_read(self, x: np.ndarray, ratio: float, held: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): the nearest lists that hold ``need`` vectors together, and all within ``ratio`` times the farthest of these.
+
+        ``held`` has the number of vectors of each list.
+        """
         dist = self.search(x, ratio, 8)
-        return np.nonzero(dist <= ratio * dist.min(axis=1, keepdims=True))
+        order = np.argsort(dist, axis=1, kind="stable")
+        d, n = np.take_along_axis(dist, order, axis=1), np.cumsum(held[order], axis=1)
+        last = np.take_along_axis(d, np.minimum((n < need).sum(axis=1, keepdims=True), d.shape[1] - 1), axis=1)
+        row, col = np.nonzero(np.isfinite(d) & (d <= ratio * last))
+        return row, order[row, col]
 
 
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
@@ -124,8 +131,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, ratio: float = 1.3,
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id.
     Every vector is filed under the nearest centroid, and near a boundary under
     a second one; a query reads the lists whose centroid is at most ``ratio``
-    times as far as the nearest. Scores are exact, in double precision, on the
-    vectors as given. Lists are cut into blocks of bounded size, so copies of
+    times as far as the nearest (if that holds fewer than ``k`` others, as the
+    list with which they are ``k``); one that finds fewer still reads all lists.
+    Scores are exact, in double precision, on the vectors as given. Lists are cut into blocks of bounded size, so copies of
     one vector in any number are spread over tasks.
 
     Vectors that are null, zero, or hold null or non-finite components take no
@@ -146,13 +154,13 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, ratio: float = 1.3,
     def matrix(column) -> np.ndarray:
         return np.array(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
-    def file(read: bool):
+    def file(read: bool, held_by: np.ndarray | None = None):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 1024):
                     part = b.slice(at, 1024)
                     unit = _unit(matrix(part.column(1)))
-                    row, lst = graph.value.lists_to_read(unit, ratio) if read else graph.value.lists_to_hold(unit)
+                    row, lst = graph.value.lists_to_read(unit, ratio, held_by, k + 1) if read else graph.value.lists_to_hold(unit)
                     taken = part.take(pa.array(row))
                     raw = matrix(taken.column(1)).astype("<f8")
                     yield pa.RecordBatch.from_arrays([taken.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(lst.astype(np.int32))], names=["vec_id", "raw", "list"])
@@ -162,18 +170,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, ratio: float = 1.3,
     filed = f"vec_id {id_kind}, raw binary, list int"
     postings = materialize(rows.mapInArrow(file(False), filed), "postings")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    reads = materialize(asked.mapInArrow(file(True), filed), "ann-reads")
-    # a few numbers per list: into how many blocks its vectors and its queries are cut
-    blocks = {r.list: -(-r["count"] // BLOCK_ROWS) for r in postings.groupBy("list").count().collect()}
-    turns = {r.list: -(-r["count"] // BLOCK_QUERIES) for r in reads.groupBy("list").count().collect()}
-    cuts = spark.createDataFrame([(i, n, turns.get(i, 0)) for i, n in blocks.items()], "list int, blocks int, turns int")
+    # a few numbers per list: how many vectors it holds, into how many blocks these and its queries are cut
+    counts = {r.list: r["count"] for r in postings.groupBy("list").count().collect()}
+    lists = np.array([counts.get(i, 0) for i in range(len(graph.value.centroids))])
+    reads = materialize(asked.mapInArrow(file(True, lists), filed), "ann-reads")
     spread = F.xxhash64("vec_id")
-    held = postings.join(F.broadcast(cuts.where("turns > 0")), "list").select(
-        "list", F.pmod(spread, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "raw"
-    )
-    want = reads.join(F.broadcast(cuts), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spread, F.col("turns")).cast("int").alias("turn"), F.col("vec_id").alias("query_id"), "raw"
-    )
 
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
@@ -182,11 +183,30 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, ratio: float = 1.3,
         qi, vi, s = top_pairs(a, q["query_id"].to_numpy(), b, v["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[qi], "vec_id": v["vec_id"].to_numpy()[vi], "score": s})
 
-    key = ["list", "block", "turn"]
-    found = want.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(best, out)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # one vector in several lists
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(reads: DataFrame) -> DataFrame:
+        turns = {r.list: -(-r["count"] // BLOCK_QUERIES) for r in reads.groupBy("list").count().collect()}
+        cuts = spark.createDataFrame([(i, -(-n // BLOCK_ROWS), turns.get(i, 0)) for i, n in counts.items()], "list int, blocks int, turns int")
+        held = postings.join(F.broadcast(cuts.where("turns > 0")), "list").select(
+            "list", F.pmod(spread, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "raw"
+        )
+        want = reads.join(F.broadcast(cuts), "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spread, F.col("turns")).cast("int").alias("turn"), F.col("vec_id").alias("query_id"), "raw"
+        )
+        key = ["list", "block", "turn"]
+        found = want.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(best, out)
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # one vector in several lists
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = materialize(ranked(reads), "ann-found")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = materialize(reads.join(full, "vec_id", "left_anti").select("vec_id", "raw").distinct(), "ann-short")
+    if len(counts) < 2 or short.isEmpty():
+        return found
+    # too few in the lists read: these queries read all lists
+    every_list = F.broadcast(spark.createDataFrame([(i,) for i in counts], "list int"))
+    again = ranked(materialize(short.crossJoin(every_list).select("vec_id", "raw", "list"), "ann-reads"))
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again).select("query_id", "rank", "vec_id", "score")
 
 
 def top_pairs(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

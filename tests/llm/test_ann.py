@@ -51,3 +51,16 @@ def test_recall(spark):
         s[ids == q] = -9
         hits += len(set(ids[np.argsort(-s)[:5]]) & set(found))
     assert len(got) == (ids % 50 == 0).sum() and hits / (5 * len(got)) > 0.9
+
+
+def test_few_distinct_vectors_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    rng = np.random.default_rng(4)
+    sizes = [200, 100, 40, 1, 2, 3, 1, 1, 4, 2]
+    kinds = rng.permutation(np.repeat(np.arange(len(sizes)), sizes))
+    vectors = [[float(np.float32(x)) for x in rng.normal(size=8)] for _ in sizes]
+    rows = [(i, vectors[c]) for i, c in enumerate(kinds)]
+    got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=1).collect())
+    few = [i for i, c in enumerate(kinds) if sizes[c] < 5] + [0, 7]
+    want = {w[:3] for w in brute(rows, 1, 5) if w[0] in few}
+    assert len(got) == 5 * len(rows) and {g[:3] for g in got if g[0] in few} == want
