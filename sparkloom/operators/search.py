@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.staging import materialize, size_checked
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two numeric arrays in double precision."""
@@ -37,14 +39,30 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def diverse_top_k(scored: DataFrame, vectors: DataFrame, k: int = 3, near: float = 0.97, pool: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Greedy selection down the ranking: a row at least ``near`` to a chosen one is passed over.
 
-    Works on the ``pool`` best rows of each query, kept as one sorted array.
+    The ``pool`` best rows of each query are tried first, kept as one sorted
+    array; queries that find fewer than k among them choose in k rounds over
+    their whole ranking.
     """
-    best = top_k(scored, pool).join(vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")), "vec_id")
+    vecs = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"))
+    best = top_k(scored, pool).join(vecs, "vec_id")
     ranked = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score", "v"))).alias("a"))
     none = F.slice(F.col("a"), 1, 0)
     take = lambda acc, x: F.when((F.size(acc) < k) & ~F.exists(acc, lambda y: cosine(y["v"], x["v"]) >= near), F.array_append(acc, x)).otherwise(acc)
-    chosen = ranked.select("query_id", F.posexplode(F.aggregate("a", none, take)).alias("pos", "x"))
-    return chosen.select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", "x.score")
+    chosen = ranked.select("query_id", (F.size("a") >= pool).alias("more"), F.aggregate("a", none, take).alias("x"))
+    chosen = materialize(chosen.select("query_id", ((F.size("x") < k) & F.col("more")).alias("open"), F.transform("x", lambda x: F.struct(x["vec_id"], x["score"])).alias("x")), "diverse-pool")
+    done = chosen.where("NOT open").select("query_id", F.posexplode("x").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", "x.score")
+    rest = scored.select("query_id", "vec_id", "score").join(size_checked(chosen.where("open").select("query_id")), "query_id", "left_semi")
+    if chosen.where("open").isEmpty():
+        return done
+    for rank in range(1, k + 1):
+        first = rest.groupBy("query_id").agg(F.max_by(F.struct("vec_id", "score"), F.struct("score", -F.col("vec_id"))).alias("x")).select("query_id", F.lit(rank).alias("rank"), "x.*")
+        first = materialize(first, "diverse-first")
+        done = done.unionByName(first)
+        if rank < k:
+            against = first.join(vecs, "vec_id").select("query_id", F.col("v").alias("__c"))
+            rest = rest.join(vecs, "vec_id").join(against, "query_id").where(~(cosine(F.col("__c"), F.col("v")) >= near)).select("query_id", "vec_id", "score")
+            rest = materialize(rest, "diverse-rest")
+    return done
 
 
 def mutual_nearest(scored: DataFrame) -> DataFrame:

@@ -26,6 +26,14 @@ def test_diverse_search_passes_over_copies(spark):
     assert [r.vec_id for r in search.diverse_top_k(s, v, 3, 0.97).orderBy("rank").collect()] == [1, 3]
 
 
+def test_diverse_search_looks_past_a_large_group_of_copies(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, 0.01]) for i in range(1, 61)] + [(i, [0.5, 1.0]) for i in range(61, 121)] + [(200, [-1.0, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    s = search.scores(v, F.col("vec_id") % 200 == 0)
+    got = [tuple(r)[:3] for r in search.diverse_top_k(s, v, 3, 0.97).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 61), (0, 3, 200), (200, 1, 61), (200, 2, 1)]
+
+
 def test_weights_of_zero_and_nulls(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 0.0), ("a", 3.0, 3.0), ("a", None, 9.0)], "k string, v double, w double")
     assert stats.weighted_quantiles(df, "k", "v", "w", [0.25, 0.5]).collect()[0][1:] == (1.0, 3.0)
