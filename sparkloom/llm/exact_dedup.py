@@ -62,12 +62,16 @@ def _by_text(out: DataFrame, texts: DataFrame, collided: DataFrame, best) -> Dat
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+    """The row of the largest id of each group of equal texts, with all its columns.
 
-    Rows to drop are found as ids; rows whose id is null are all kept, for
-    nothing tells them apart.
+    Rows are told apart by id and text: an id that repeats with another text is
+    another row, and of rows that repeat both one stays. A row without an id
+    stays only where its group has no id.
     """
-    from sparkloom.llm.rows import drop_ids
+    from sparkloom.llm.rows import drop_rows
 
-    verdict = exact_dedup(docs, id_col, text_col)
-    return drop_ids(docs, verdict.where("NOT kept").select("doc_id"), id_col)
+    # only rows of groups of two or more can go
+    verdict = exact_dedup(docs, id_col, text_col).where("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("digest"), "kept")
+    verdict = materialize(verdict, "dedup-verdict")
+    repeated = verdict.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
+    return drop_rows(docs, verdict.where("NOT kept"), repeated, id_col, F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.graph import connected_components
-from sparkloom.staging import materialize
+from sparkloom.staging import materialize, size_checked
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -188,27 +189,42 @@ def simhash_components(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
     columns are ignored; an empty table gives no rows. Copies meet as one
     fingerprint before any search, so their number does not matter.
     """
+    found = _labelled(docs, radius, id_col, text_col)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _labelled(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp, component_id, and label: a fingerprint of the component, which no other one has."""
     fps = materialize(with_fingerprints(docs, id_col, text_col), "simhash-fps")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     labels = connected_components(near_links(classes.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
     linked = labels.join(classes, "fp")
     firsts = linked.groupBy("label").agg(F.min("first_id").alias("least"))
-    linked = linked.join(firsts, "label").select("fp", "least", F.lit(True).alias("linked"))
-    component = F.when(F.col("linked"), F.col("least")).otherwise(F.col("first_id"))
-    classes = materialize(classes.join(linked, "fp", "left").select("fp", "n", component.alias("component_id")), "simhash-classes")
+    linked = linked.join(firsts, "label").select("fp", "least", "label")
+    component = F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("first_id"))
+    classes = materialize(classes.join(linked, "fp", "left").select("fp", "n", component.alias("component_id"), F.coalesce("label", "fp").alias("label")), "simhash-classes")
     # fewer than HOT_SHARE fingerprints can each have more than 1/HOT_SHARE of the rows: their rows stay where they are
-    hot = F.broadcast(classes.where(F.col("n") * HOT_SHARE > fps.count()).select("fp", "component_id"))
-    rare = fps.join(hot.select("fp"), "fp", "left_anti").join(classes.select("fp", "component_id"), "fp")
-    found = fps.join(hot, "fp").select("doc_id", "fp", "component_id").unionByName(rare.select("doc_id", "fp", "component_id"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    hot = F.broadcast(classes.where(F.col("n") * HOT_SHARE > fps.count()).select("fp", "component_id", "label"))
+    rare = fps.join(hot.select("fp"), "fp", "left_anti").join(classes.select("fp", "component_id", "label"), "fp")
+    return fps.join(hot, "fp").select("doc_id", "fp", "component_id", "label").unionByName(rare.select("doc_id", "fp", "component_id", "label"))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all their columns.
+    """The row of the smallest id of each component, with all its columns.
 
-    Rows with a null id are kept only where a component has no id at all.
+    Rows are told apart by id and fingerprint: an id that repeats in another
+    component is another row, and of rows that repeat both one stays. A row
+    without an id stays only where its component has no id.
     """
-    from sparkloom.llm.rows import drop_ids
-
-    found = simhash_components(docs, radius, id_col, text_col)
-    return drop_ids(docs, found.where("doc_id <> component_id").select("doc_id"), id_col)
+    from sparkloom.llm.rows import drop_rows
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t or b"") for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64))
+
+    found = materialize(_labelled(docs, radius, id_col, text_col).select("doc_id", F.col("fp").alias("digest"), "label"), "simhash-found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    best = materialize(found.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1"), "simhash-best")
+    gone = found.join(size_checked(best, 64), "label").where(order != F.col("best"))
+    repeated = found.groupBy("doc_id", "digest").count().where("count > 1")
+    return drop_rows(docs, gone, repeated, id_col, fp(F.col(text_col).cast("binary")))

@@ -142,3 +142,12 @@ def test_colliding_digests_are_told_apart(spark, monkeypatch):
 @pytest.mark.parametrize("f", [simhash.simhash_components, exact_dedup.exact_dedup])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("f", [simhash.keep_one_of_each, exact_dedup.keep_first_of_each])
+def test_an_id_repeated_with_two_texts_loses_none(spark, f):
+    first, other = "first text of some words", "quite another text in here"
+    low = f is simhash.keep_one_of_each
+    rows = [(5, first), (4 if low else 9, first), (5, other), (7, "same row"), (7, "same row"), (None, first), (None, "nobody's"), (None, "nobody's")]
+    want = [(5, other), (4 if low else 9, first), (7, "same row"), (None, "nobody's")]
+    assert got(f(spark.createDataFrame(rows, SCHEMA))) == sorted(want, key=str)
