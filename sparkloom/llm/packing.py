@@ -20,79 +20,109 @@ from sparkloom.llm.bpe import library_codec
 from sparkloom.staging import materialize
 
 CAPACITY = 2048
-#: When rounding, how much dearer than its length a long piece is, and how much the program's prices count.
-_LONG, _PRICED = 1.0, 0.3
+#: Prior weights: how much dearer than its length a piece of full length is, so that long pieces fill what they can and short ones last.
+LONG_FIRST = 1.0
+#: Learning rate of the weights, and fillings that count as equal in price (one of them is drawn).
+RATE, TIE = 0.05, 1e-4
+#: Each column takes this share of what it could take; a column is near-best within this slack at first.
+SHARE, SLACK = 0.5, 0.02
+#: A filling without empty room is taken if it is worth at most this share less than the best one.
+FULL = 0.05
+#: A round that moves less than this share of the demand left counts as idle; after so many idle rounds the slack doubles.
+PROGRESS, PATIENCE = 0.001, 3
 
 # ------------------------------------------------------------------- the plan
 
 
-def price_fill(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value of each room 0 .. capacity, and the last length taken (0: none).
+def price_fill(price: np.ndarray, capacity: int, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the best value that fills each room 0 .. capacity exactly, and the last length taken.
 
-    ``price[l]`` is the value of one piece of length l; lengths of price 0 or less are left out.
+    ``price[l]`` is the value of one piece of length l; lengths of price 0 or
+    less are left out. Rooms that cannot be filled have the value -inf. With
+    ``rng`` one of the choices within `TIE` is drawn, so that different rooms
+    are filled by different lengths.
     """
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    p = price[:0:-1]  # the longest first, so that it wins ties
+    best, last = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, dtype=np.int64)
+    best[0] = 0.0
+    sizes = np.flatnonzero(price > 0)
+    value_of = price[sizes]
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
+    draws = rng.random(capacity + 1).tolist() if rng else None
     for room in range(1, capacity + 1):
-        value = p[-room:] + best[:room]
-        k = int(value.argmax())
-        if value[k] > best[room - 1] + 1e-12 and p[k - room] > 0:
-            best[room], last[room] = value[k], room - k
-        else:
-            best[room] = best[room - 1]
-            last[room] = -1  # as good with one less
+        if n := fitting[room]:
+            value = value_of[:n] + best[room - sizes[:n]]
+            k = int(value.argmax())
+            if draws and value[k] > -np.inf:
+                ties = np.flatnonzero(value >= value[k] * (1 - TIE))
+                k = ties[int(draws[room] * len(ties))]
+            best[room], last[room] = value[k], sizes[k]
     return best, last
 
 
 def unfold(last: np.ndarray, room: int) -> list[int]:
     """The lengths that fill ``room``."""
     out = []
-    while room > 0 and last[room]:
-        if last[room] < 0:
-            room -= 1
-            continue
+    while room > 0:
         out.append(int(last[room]))
         room -= out[-1]
     return out
 
 
-def solve_lp(demand: np.ndarray, capacity: int, rounds: int = 48, rate: float = 0.2) -> tuple[np.ndarray, dict[tuple[int, ...], float]]:
-    """Multiplicative weights for min sum x_c with every length covered ``demand`` times.
+def dual_bound(demand: np.ndarray, price: np.ndarray, capacity: int) -> float:
+    """No packing has fewer sequences: prices scaled so that no sequence is worth more than 1."""
+    best = price_fill(price, capacity)[0].max()
+    return float(demand @ price) / best if best > 0 else 0.0
 
-    Starting from prices in proportion to length, every round prices all
-    configurations "one piece of length l and the best filling of the rest" by
-    one dynamic program, lets the near-best ones (within 2 %) cover a share of
-    the demand, and lowers the prices of lengths covered above average. Returns
-    the mean prices and the fractional solution, scaled so that no length is
-    covered more than it is demanded.
+
+def solve_lp(demand: np.ndarray, capacity: int, seed: int = 42) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """Multiplicative weights for the covering program: min sum x_c, every length l covered ``demand[l]`` times.
+
+    A length's weight falls exponentially with the share of its demand that is
+    covered, against the mean share; its price is its length times its weight.
+    Each round prices all configurations "one piece of length l and the best
+    filling of the rest" by one knapsack dynamic program, lets the near-best
+    ones cover a share of what they can, and drops lengths that are covered.
+    Where rounds move little, more configurations count as near-best. So every
+    length is covered exactly as often as demanded, and nothing need be scaled.
+
+    Returns the solution and the last prices of all lengths. It is fractional
+    only where fewer than one sequence is left to a configuration.
     """
-    lengths = np.flatnonzero(demand)
-    weight = np.zeros(capacity + 1)
-    weight[lengths] = lengths / capacity
-    mean = np.zeros(capacity + 1)
+    rng = np.random.default_rng(seed)
+    size = np.arange(capacity + 1)
+    d = demand.astype(float)
+    rest, total = d.copy(), float(d @ size)
     x: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        best, last = price_fill(weight, capacity)
-        mean += weight / max(best[capacity], 1e-12)
-        covered = np.zeros(capacity + 1)
-        near = lengths[weight[lengths] + best[capacity - lengths] >= 0.98 * best[capacity]]
-        for length in near[::-1]:
-            left = demand[length] / rounds - covered[length]
-            if left <= 0:
+    slack, idle = SLACK, 0
+    prices = size.astype(float)
+    while (rest > 0).any():
+        share = np.divide(rest, d, out=np.zeros_like(d), where=d > 0)
+        prices = size * (1 + LONG_FIRST * size / capacity) * np.exp(RATE * (share - float(rest @ size) / total))
+        priced = np.where(rest > 0, prices, 0.0)
+        best, last = price_fill(priced, capacity, rng)
+        upto = np.maximum.accumulate(best)
+        least, moved = (1 - slack) * upto[-1], 0.0
+        for length in np.flatnonzero(priced)[::-1].tolist():
+            if rest[length] <= 0:
                 continue
-            config = tuple(sorted([int(length), *unfold(last, capacity - length)], reverse=True))
+            room = capacity - length
+            if best[room] < upto[room] * (1 - FULL):
+                room = int(best[: room + 1].argmax())
+            if not priced[length] + best[room] >= least:
+                continue
+            config = sorted([length, *unfold(last, room)], reverse=True)
             kinds, times = np.unique(config, return_counts=True)
-            step = min(left / times[kinds == length][0], float((demand[kinds] / times).min()))
-            x[config] = x.get(config, 0.0) + step
-            covered[kinds] += step * times
-        over = covered[lengths] / (demand[lengths] / rounds)
-        weight[lengths] *= np.exp(-rate * (np.minimum(over, 3) - min(1.0, over.mean())))
-    total = np.zeros(capacity + 1)
-    for config, v in x.items():
-        kinds, times = np.unique(config, return_counts=True)
-        total[kinds] += v * times
-    scale = min(1.0, float((demand[lengths] / np.maximum(total[lengths], 1e-12)).min(initial=1.0)))
-    return mean / rounds, {c: v * scale for c, v in x.items()}
+            most = float((rest[kinds] / times).min())
+            step = max(1.0, np.floor(most * SHARE)) if most >= 1 else most if slack >= 1 else 0.0
+            if step > 0:
+                x[tuple(config)] = x.get(tuple(config), 0.0) + step
+                rest[kinds] = np.maximum(rest[kinds] - step * times, 0.0)
+                rest[kinds[rest[kinds] < 1e-9]] = 0.0
+                moved += step
+        idle = idle + 1 if moved <= PROGRESS * float(rest @ size) / capacity else 0
+        if idle >= PATIENCE:
+            idle, slack = 0, slack * 2
+    return x, prices
 
 
 class Plan:
@@ -126,59 +156,28 @@ class Plan:
 def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """Pack ``histogram[l]`` pieces of each length l into few sequences.
 
-    The fractional solution is rounded down configuration by configuration;
+    The program's solution is rounded down, configuration by configuration;
     what then remains is packed best-fit decreasing, into the room of the
-    sequences so far first. A second rounding fills, before that, each longest
-    piece left with the best-priced pieces left, while such configurations are
-    tight. The rounding with fewer sequences is the plan.
+    sequences so far first. Where best fit alone needs fewer sequences (which
+    takes few pieces of few lengths), its packing is the plan.
     """
     plan = Plan(capacity)
     if not histogram.any():
         return plan
-    prices, x = solve_lp(histogram.astype(np.int64), capacity)
-    rounded = [_round(histogram.astype(np.int64), prices, x, capacity, fill) for fill in (True, False)]
-    for config, n in min(rounded, key=lambda r: sum(r.values())).items():
+    whole, rest = floors(solve_lp(histogram, capacity)[0], histogram)
+    packed = (_best_fit(rest, whole, capacity), _best_fit(histogram.astype(np.int64), {}, capacity))
+    for config, n in min(packed, key=lambda held: sum(held.values())).items():
         plan.add(config, n)
     return plan
 
 
-def _round(demand: np.ndarray, prices: np.ndarray, x: dict[tuple[int, ...], float], capacity: int, fill: bool) -> dict[tuple[int, ...], int]:
-    """Sequences per configuration that hold exactly ``demand``."""
-    demand = demand.copy()
-    loose: dict[tuple[int, ...], int] = {}
-
-    def take(config: list[int] | tuple[int, ...], most: int) -> int:
+def floors(x: dict[tuple[int, ...], float], demand: np.ndarray) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Sequences per configuration of a solution rounded down, and the demand that they leave."""
+    whole, rest = {c: int(v) for c, v in x.items() if v >= 1}, demand.astype(np.int64)
+    for config, n in whole.items():
         kinds, times = np.unique(config, return_counts=True)
-        n = int(min(most, (demand[kinds] // times).min()))
-        if n > 0:
-            demand[kinds] -= n * times
-            key = tuple(sorted(config, reverse=True))
-            loose[key] = loose.get(key, 0) + n
-        return max(n, 0)
-
-    for config, v in sorted(x.items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0])):
-        if sum(config) >= capacity - 2:
-            take(config, int(v))
-    for slack in (0, 0, 0, 0, 1, 1, 2, 4, 8) if fill else ():
-        while _fill_round(demand, prices, capacity, slack, take):
-            pass
-    return _best_fit(demand, loose, capacity)
-
-
-def _fill_round(demand: np.ndarray, prices: np.ndarray, capacity: int, slack: int, take: Callable) -> int:
-    """Give each length left, longest first, its best filling by pieces left; only fillings with at most ``slack`` tokens of room count."""
-    left = np.flatnonzero(demand)
-    weight = np.zeros(capacity + 1)
-    # near the lengths, so that fillings are full; above them for long pieces and for those the program finds hard to place
-    weight[left] = left * (1 + _LONG * left / capacity + _PRICED * np.clip(prices[left] * capacity / left - 1, -1, 1))
-    best, last = price_fill(weight, capacity)
-    moved = 0
-    for length in left[::-1].tolist():
-        if demand[length]:
-            config = [length, *unfold(last, capacity - length)]
-            if sum(config) >= capacity - slack:
-                moved += take(config, int(demand[length]))
-    return moved
+        rest[kinds] -= n * times
+    return whole, rest
 
 
 def _best_fit(demand: np.ndarray, open_: dict[tuple[int, ...], int], capacity: int) -> dict[tuple[int, ...], int]:

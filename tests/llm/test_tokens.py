@@ -160,3 +160,38 @@ def test_plans_hold_exactly_the_histogram(hist):
 @pytest.mark.parametrize("f", [lambda d: byte_bpe.round_trip_digests(d, RANKS, P.PATTERN), lambda d: token_counts.count_by_section(d, *BYTE_BPE)])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_the_program_packs(scale):
+    rng = np.random.default_rng(3)
+    h = scale * np.bincount(np.clip(rng.lognormal(4.5, 1, 6000).astype(int), 1, 400), minlength=401)
+    x, prices = packing.solve_lp(h, 400)
+    used = np.zeros(401)
+    for config, v in x.items():
+        assert sum(config) <= 400 and v > 0
+        for length in config:
+            used[length] += v
+    assert np.allclose(used, h)
+    bound = max(packing.dual_bound(h, np.arange(401.0), 400), packing.dual_bound(h, prices, 400))
+    assert bound - 1e-6 <= sum(x.values()) <= 1.02 * bound
+    whole, rest = packing.floors(x, h)
+    n = packing.make_plan(h, 400).sequences
+    assert (rest >= 0).all() and sum(whole.values()) >= 0.9 * n and n <= bound + 2
+
+
+def test_packing_null_and_repeated_ids(spark, json_lib):
+    rows = [(None, "some text here"), (None, None), (3, "x" * 700), (3, "x" * 700), (3, "other"), (4, "word " * 3000)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, length int").repartition(4)
+    got = packing.pack(df, *BYTE_BPE, capacity=64).collect()
+    want = []
+    for i, t in rows:
+        ids = np.array([*json_lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 64))]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 64
