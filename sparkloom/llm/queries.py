@@ -28,8 +28,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op4_url_filter(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages")
-    return url_filter.judge_urls(pages, URL_RULES, url_filter.NameModel(url_filter.title_words(pages)))
+    return url_filter.judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
 
 #: The vocabulary as a tokenizer file and as ranks, and the pattern that splits texts.
