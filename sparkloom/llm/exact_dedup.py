@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.text import ascii_lower
-from sparkloom.staging import materialize, size_checked
+from sparkloom.operators.joins import lookup
+from sparkloom.staging import materialize
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -31,10 +32,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest = F.unhex(F.md5("norm"))
     rows = materialize(texts.select("doc_id", digest.alias("digest"), F.sha2("norm", 256).alias("text_sha256")), "dedup-digests")
     groups = rows.groupBy("digest").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = size_checked(materialize(groups.where("group_size > 1"), "dedup-groups"), 96)
+    groups = materialize(groups.where("group_size > 1"), "dedup-groups")
 
     collided = _collisions(texts.withColumn("digest", digest), groups)
-    out = rows.join(groups, "digest", "left")
+    out = lookup(rows, groups, "digest", "left", row_bytes=96)
     if not collided.isEmpty():
         out = _by_text(out, texts.withColumn("digest", digest), collided, best)
     # a digest that is not in the group table belongs to one row, which stays
@@ -49,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _collisions(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """Digests under which two different texts were found."""
-    ends = texts.join(groups.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
+    ends = lookup(texts, groups.select("digest"), "digest", "left_semi", row_bytes=96).groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     return materialize(ends.where("lo <> hi").select("digest"), "dedup-collisions")
 
 

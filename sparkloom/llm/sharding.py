@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Groups of rows that are numbered together. A constant: the numbering must not depend on the cluster.
-NUMBERING_BUCKETS = 8192
+from sparkloom.staging import materialize
+
+#: Rows that one task numbers, about.
+BUCKET_ROWS = 1 << 20
+#: Equal rows that one row of the written-out numbering stands for, at most.
+REPEATS = 1 << 16
 
 
 class FeistelPermutation:
@@ -51,20 +55,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def row_numbers(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, np.ndarray]:
-    """Number the rows 0 .. n-1 by (hash bucket of ``key``, ``order``).
+def row_numbers(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Number the rows 0 .. n-1 in the order of the hash of all their columns, then of the columns; also their number.
 
-    Returns the rows with __bucket and __rank, and each bucket's first number.
-    The number depends on the rows alone. Rows equal in ``key`` and ``order``
-    are interchangeable. One small count per bucket reaches the driver.
+    Returns the rows with __number. It depends on the rows alone: how many
+    buckets of hash values are numbered side by side does not matter. Equal
+    rows are one row with a count until they are numbered, so rows that repeat,
+    in any number, burden no task. One small count per bucket reaches the driver.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(NUMBERING_BUCKETS)).cast("int")
-    counts = np.zeros(NUMBERING_BUCKETS + 1, dtype=np.int64)
-    for b, n in rows.select(key).groupBy(bucket.alias("b")).count().collect():
+    kinds = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")).withColumn("__hash", F.xxhash64(*rows.columns))
+    kinds = materialize(kinds, "shard-kinds")
+    total, most = kinds.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
+    bits = min(20, max(3, (total // BUCKET_ROWS).bit_length()))
+    bucket = (F.shiftright("__hash", 64 - bits) + (1 << (bits - 1))).cast("int")
+    counts = np.zeros((1 << bits) + 1, dtype=np.int64)
+    for b, n in kinds.groupBy(bucket.alias("b")).agg(F.sum("__n")).collect():
         counts[b + 1] = n
-    ranked = rows.withColumn("__bucket", bucket)
-    rank = F.row_number().over(W.partitionBy("__bucket").orderBy(key, *order)) - 1
-    return ranked.withColumn("__rank", rank), np.cumsum(counts)
+    first = [(i, int(n)) for i, n in enumerate(np.cumsum(counts)[:-1]) if counts[i + 1]]
+    first = rows.sparkSession.createDataFrame(first, "__bucket int, __first long")
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__bucket").orderBy("__hash", *rows.columns).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = kinds.withColumn("__bucket", bucket).withColumn("__before", before).join(F.broadcast(first), "__bucket")
+    numbered = numbered.withColumn("__number", F.col("__first") + F.col("__before"))
+    if most > REPEATS:
+        start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(REPEATS).cast("long")))
+        numbered = numbered.withColumn("__start", start).repartition(*rows.columns, "__start")
+        numbered = numbered.withColumn("__number", F.col("__number") + F.col("__start")).withColumn("__n", F.least(F.col("__n") - F.col("__start"), F.lit(REPEATS)))
+    each = F.explode(F.sequence(F.col("__number"), F.col("__number") + F.col("__n") - 1)).alias("__number")
+    return numbered.select(*rows.columns, each), int(total)
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,8 +93,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str =
     numbers; shard is p mod shards, slot is p div shards, so either can be
     computed for one row without the others.
 
-    Null text has size 1 and the CRC of no bytes. Null ids sort first; rows
-    that agree in id, size and CRC may trade places. Other columns are ignored.
+    Null text has size 1 and the CRC of no bytes. Null ids are ids like others;
+    rows that agree in id, size and CRC may trade places. Other columns are ignored.
     An empty table gives no rows. Texts are not shuffled, only their digests.
     """
     text = F.col(text_col).cast("string")
@@ -86,16 +103,16 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str =
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    ranked, first = row_numbers(rows, "doc_id", ["size", "text_crc32"])
-    permute = FeistelPermutation(int(first[-1]), seed)
+    numbered, total = row_numbers(rows)
+    permute = FeistelPermutation(total, seed)
 
     @F.pandas_udf("long")
-    def place(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bucket, rank in parts:
-            yield pd.Series(permute(first[bucket.to_numpy()] + rank.to_numpy()))
+    def place(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for n in numbers:
+            yield pd.Series(permute(n.to_numpy()))
 
     p = F.col("__place")
-    return ranked.withColumn("__place", place("__bucket", "__rank")).select(
+    return numbered.withColumn("__place", place("__number")).select(
         "doc_id",
         "size",
         "text_crc32",

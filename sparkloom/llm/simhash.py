@@ -12,17 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.graph import connected_components
-from sparkloom.staging import materialize, size_checked
+from sparkloom.operators.joins import lookup
+from sparkloom.staging import materialize
 
 BITS = 64
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 #: Shingles of a document that are hashed at a time.
 _CHUNK = 1 << 18
-#: Largest bucket whose members are compared in one task; larger ones use `_hub_links`.
+#: Largest bucket whose members are compared in one task; larger ones are split by further masks.
 BUCKET_MEMBERS = 2048
-#: Fingerprints with more than one in so many rows meet their component by broadcast; there are fewer of them than this.
-HOT_SHARE = 5000
+#: A bucket with at most so many bits open has at most BUCKET_MEMBERS words.
+FEW_BITS = 11
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -68,51 +69,56 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 # ------------------------------------------------------------------- covering
 
 
-def covering_masks(radius: int, bits: int = BITS) -> list[int]:
-    """2**(radius+1) - 1 masks such that any two words at most ``radius`` bits apart agree under one.
+def covering_masks(radius: int, within: int = (1 << BITS) - 1) -> list[int]:
+    """2**(radius+1) - 1 masks over the bits of ``within`` such that any two words at most ``radius`` bits apart there agree under one.
 
-    Bit i gets a nonzero vector m(i) of radius+1 bits; the mask of a nonzero
-    vector v keeps the bits with odd <m(i), v>. At most ``radius`` differing
-    bits span less than the whole space, so some v is orthogonal to them all:
-    its mask hides every difference.
+    The i-th bit gets a nonzero vector m(i) of radius+1 bits; the mask of a
+    nonzero vector v keeps the bits with odd <m(i), v>. At most ``radius``
+    differing bits span less than the whole space, so some v is orthogonal to
+    them all: its mask hides every difference.
     """
     size = 1 << (radius + 1)
-    code = [i % (size - 1) + 1 for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (code[i] & v).bit_count() & 1) for v in range(1, size)]
+    bits = [i for i in range(within.bit_length()) if within >> i & 1]
+    code = {bit: i % (size - 1) + 1 for i, bit in enumerate(bits)}
+    return [sum(1 << bit for bit in bits if (code[bit] & v).bit_count() & 1) for v in range(1, size)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _flips(most: int) -> list[int]:
-    """All words with at most ``most`` (0 to 2) bits set."""
-    ones = [1 << i for i in range(BITS)]
-    return [0, *ones[: BITS * (most > 0)], *(a | b for i, a in enumerate(ones) for b in ones[:i] if most > 1)]
-
-
 def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components are those of all pairs within ``radius`` bits.
 
-    ``fps`` has one distinct non-null long column, fp. Each fingerprint goes to
-    one bucket per covering mask. Buckets of one are dropped, buckets of two
-    need no second look at their members; larger ones are read in order, and
-    each yields a spanning forest instead of its pairs. A bucket over
-    BUCKET_MEMBERS is never held in one task: see `_hub_links`.
+    ``fps`` is a written table of one distinct non-null long column, fp. Each
+    fingerprint goes to one bucket per covering mask. Buckets of one are
+    dropped, buckets of two need no second look at their members; larger ones
+    are read in order, and each yields a spanning forest instead of its pairs.
+    A bucket over BUCKET_MEMBERS is never held in one task: the bits that its
+    members share stay fixed, and the rest are covered by masks once more.
     """
-    masks = F.array(*(F.lit(_signed(m)) for m in covering_masks(radius)))
-    spread = fps.select("fp", F.posexplode(masks).alias("t", "mask")).select(F.col("t").cast("byte").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    buckets = spread.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    buckets = materialize(buckets.where("n > 1"), "simhash-buckets")
-    pairs = buckets.where((F.col("n") == 2) & (_apart(F.col("a"), F.col("b")) <= radius)).select("a", "b")
-    large = buckets.where("n > 2").select("t", "key", "n")
-    if large.isEmpty():
-        return pairs.distinct()
-    members = materialize(spread.join(large, ["t", "key"]), "simhash-members")
-    links = pairs.union(_forest(members.where(F.col("n") <= BUCKET_MEMBERS), radius))
-    huge = members.where(F.col("n") > BUCKET_MEMBERS).select("fp").distinct()
-    if not huge.isEmpty():
-        links = links.union(_hub_links(huge, radius))
+    spark, links = fps.sparkSession, None
+    frontier, open_masks = fps.select("fp", F.lit(0).cast("long").alias("mask")), [0]
+    while open_masks:
+        full = (1 << BITS) - 1
+        finer = [(_signed(m), _signed(m | n)) for m in open_masks for n in covering_masks(radius, full & ~m)]
+        finer = spark.createDataFrame(finer, "mask long, finer long")
+        spread = frontier.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "fp")
+        if 0 not in open_masks:
+            spread = spread.distinct()  # different masks may lead to one
+        buckets = spread.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+        buckets = materialize(buckets.where("n > 1"), "simhash-buckets")
+        found = buckets.where((F.col("n") == 2) & (_apart(F.col("a"), F.col("b")) <= radius)).select("a", "b")
+        large = buckets.where("n > 2").select("mask", "key", "n")
+        open_masks = []
+        if not large.isEmpty():
+            members = materialize(lookup(spread, large, ["mask", "key"]), "simhash-members")
+            # of words that agree in all but a few bits there are too few to be split further, and some masks would add no bit
+            huge = (F.col("n") > BUCKET_MEMBERS) & (F.bit_count("mask") < BITS - max(FEW_BITS, 1 << radius))
+            found = found.union(_forest(members.where(~huge), radius))
+            frontier = materialize(members.where(huge).select("mask", "fp").distinct(), "simhash-huge")
+            open_masks = [r.mask & full for r in frontier.select("mask").distinct().collect()]  # masks of levels above, 15 for each
+        links = found if links is None else links.union(found)
     return links.distinct()
 
 
@@ -139,7 +145,7 @@ def _forest(members: DataFrame, radius: int) -> DataFrame:
         a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    ordered = members.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
+    ordered = members.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -155,23 +161,6 @@ def spanning_roots(fps: np.ndarray, radius: int) -> np.ndarray:
         root = low
 
 
-def _hub_links(fps: DataFrame, radius: int) -> DataFrame:
-    """Links for any number of fingerprints, in space linear in their number (radius 3 at most).
-
-    Two words within three bits have a word between them that is at most one
-    bit from the one and two from the other. Every word z that lies within one
-    bit of some fingerprint takes the smallest such fingerprint as its hub and
-    links it to all within two bits of z: each link spans three bits at most,
-    and both ends of every true pair meet the same hub.
-    """
-    if radius > 3:
-        raise ValueError("hubs cover a radius of 3 at most")
-    ball = lambda most: F.explode(F.array(*(F.lit(_signed(m)) for m in _flips(most))))
-    hubs = fps.select("fp", ball(1).alias("flip")).groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("z")).agg(F.min("fp").alias("a"))
-    reach = fps.select(F.col("fp").alias("b"), ball(2).alias("flip")).select("b", F.col("b").bitwiseXOR(F.col("flip")).alias("z"))
-    return reach.join(hubs, "z").where((F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= radius)).select("a", "b").distinct()
-
-
 # -------------------------------------------------------------------- operator
 
 
@@ -196,17 +185,14 @@ def simhash_components(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
 def _labelled(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, fp, component_id, and label: a fingerprint of the component, which no other one has."""
     fps = materialize(with_fingerprints(docs, id_col, text_col), "simhash-fps")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     labels = connected_components(near_links(classes.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
-    linked = labels.join(classes, "fp")
-    firsts = linked.groupBy("label").agg(F.min("first_id").alias("least"))
-    linked = linked.join(firsts, "label").select("fp", "least", "label")
+    linked = materialize(labels.join(classes, "fp"), "simhash-linked")
+    firsts = materialize(linked.groupBy("label").agg(F.min("first_id").alias("least")), "simhash-firsts")
+    linked = lookup(linked.select("fp", "label"), firsts, "label")
     component = F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("first_id"))
-    classes = materialize(classes.join(linked, "fp", "left").select("fp", "n", component.alias("component_id"), F.coalesce("label", "fp").alias("label")), "simhash-classes")
-    # fewer than HOT_SHARE fingerprints can each have more than 1/HOT_SHARE of the rows: their rows stay where they are
-    hot = F.broadcast(classes.where(F.col("n") * HOT_SHARE > fps.count()).select("fp", "component_id", "label"))
-    rare = fps.join(hot.select("fp"), "fp", "left_anti").join(classes.select("fp", "component_id", "label"), "fp")
-    return fps.join(hot, "fp").select("doc_id", "fp", "component_id", "label").unionByName(rare.select("doc_id", "fp", "component_id", "label"))
+    classes = classes.join(linked, "fp", "left").select("fp", component.alias("component_id"), F.coalesce("label", "fp").alias("label"))
+    return lookup(fps, materialize(classes, "simhash-labelled"), "fp").select("doc_id", "fp", "component_id", "label")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,6 +211,6 @@ def keep_one_of_each(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", t
     found = materialize(_labelled(docs, radius, id_col, text_col).select("doc_id", F.col("fp").alias("digest"), "label"), "simhash-found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = materialize(found.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1"), "simhash-best")
-    gone = found.join(size_checked(best, 64), "label").where(order != F.col("best"))
+    gone = lookup(found, best, "label", row_bytes=64).where(order != F.col("best"))
     repeated = found.groupBy("doc_id", "digest").count().where("count > 1")
     return drop_rows(docs, gone, repeated, id_col, fp(F.col(text_col).cast("binary")))

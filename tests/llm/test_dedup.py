@@ -84,7 +84,9 @@ def test_components_against_brute_force(spark):
     assert got(simhash.simhash_components(df)) == brute(rows)
 
 
-def test_dense_buckets_by_forest_and_by_hubs(spark):
+@pytest.mark.parametrize("most", [2048, 5])
+def test_dense_buckets_by_forest_and_by_further_masks(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BUCKET_MEMBERS", most)
     rng = random.Random(3)
     fps = {0, 2**64 - 1}
     for _ in range(6):
@@ -96,7 +98,7 @@ def test_dense_buckets_by_forest_and_by_hubs(spark):
     fps = np.array(sorted(fps), dtype=np.uint64).view(np.int64)
     want = simhash.spanning_roots(fps, 3)
     df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
-    for links in (simhash.near_links(df), simhash._hub_links(df, 3)):
+    for links in (simhash.near_links(df),):
         root = {int(x): int(x) for x in fps}
 
         def find(i):
@@ -151,3 +153,21 @@ def test_an_id_repeated_with_two_texts_loses_none(spark, f):
     rows = [(5, first), (4 if low else 9, first), (5, other), (7, "same row"), (7, "same row"), (None, first), (None, "nobody's"), (None, "nobody's")]
     want = [(5, other), (4 if low else 9, first), (7, "same row"), (None, "nobody's")]
     assert got(f(spark.createDataFrame(rows, SCHEMA))) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("share", [1, 10, 10**9])
+def test_hot_keys_are_joined_alike(spark, monkeypatch, share):
+    from sparkloom import staging
+    from sparkloom.operators import joins
+
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", share)
+    rng, rows = random.Random(9), list(EDGE) + [(500 + i, "the same text in many rows") for i in range(40)] + [(None, "")] * 3
+    base = ["w%d" % rng.randrange(400) for _ in range(300)]
+    for i in range(30):
+        words = list(base)
+        words[rng.randrange(300)] = "v%d" % rng.randrange(9)
+        rows.append((100 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(simhash.simhash_components(df)) == brute(rows)
+    assert got(exact_dedup.exact_dedup(df)) == brute_exact(rows)

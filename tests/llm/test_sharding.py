@@ -35,3 +35,13 @@ def test_shards_are_even_gapless_and_reproducible(spark):
 
 def test_empty_table(spark):
     assert sharding.shard_rows(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_equal_rows_and_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([(None, None)] * 400 + [(7, "x")] * 90 + [(i, str(i)) for i in range(50)], "doc_id long, text string")
+    want = sorted(sharding.shard_rows(df).collect(), key=str)
+    monkeypatch.setattr(sharding, "REPEATS", 32)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 4)
+    assert sorted(sharding.shard_rows(df).collect(), key=str) == want
+    places = sorted(r.slot * 16 + r.shard for r in want)
+    assert places == list(range(540))
