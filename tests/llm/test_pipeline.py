@@ -4,6 +4,15 @@ import corpus_pipeline
 import __spark_entry__ as entry
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def test_stages_and_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
@@ -21,11 +30,14 @@ def test_stages_and_rows(spark, sf_dir):
     for i, t in sorted(good.items()):
         last[t.translate(lower)] = i
     assert set(exact) == set(last.values())
-    from sparkloom.llm.simhash import fingerprint
-
-    fps = {i: fingerprint(t.encode()) for i, t in exact.items()}
-    assert all(i in near or any(j < i and (fps[i] ^ fps[j]).bit_count() <= 3 for j in exact) or any((fps[i] ^ fps[j]).bit_count() <= 3 for j in exact if j != i) for i in exact)
-    assert all((fps[i] ^ fps[j]).bit_count() > 3 for i in near for j in near if i < j)
+    sets = {i: shingle_set(t) for i, t in exact.items()}
+    least = {i: i for i in exact}
+    ids = sorted(exact)
+    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[:n] if similar(sets[i], sets[j])]
+    for _ in ids:
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    assert pairs and set(near) == set(least.values())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {p.doc_id for p in pieces} == set(near)
 
@@ -59,3 +71,18 @@ def test_near_stage_drops_all_near_copies_by_their_texts(spark, sf_dir):
     assert out.columns == df.columns
     got = [(r.doc_id, r.text) for r in out.collect()]
     assert len(got) == len(want) and {i for i, _ in got} == {i for i, _ in want} and sum(i == 9 for i, _ in got) == 2
+
+
+def test_odd_tables_go_through_all_stages(spark, sf_dir, tmp_path):
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "plain words " * 20, None, None, 3), (2, "plain words " * 20, None, None, 3), (3, "x" * 50000, "en", "s", 1), (4, "word " * 30000, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, label int, node long"
+    docs = spark.createDataFrame([(*r, "d", 1, 2) for r in rows], schema)
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        out, before = table, table.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= before
+        pieces = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
+        assert len({(p.doc_id, p.start) for p in pieces}) == len(pieces) and bool(pieces) == (before > 0)
