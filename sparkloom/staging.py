@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
 #: Keys of at most this many bytes are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Tables and paths written inside the open `scratch` blocks, the innermost last.
+_open: list[list[tuple[DataFrame, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +56,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for block in _open:
+        block.append((out, path))
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block after which the tables written in it are deleted, but for those given to the function it yields.
+
+    What leaves the block must not read any other of them.
+    """
+    block: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _open.append(block)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for table, path in block:
+            if not any(table is k for k in kept):
+                delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table written by this process."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def size_checked(keys: DataFrame, row_bytes: int = 32) -> DataFrame:
