@@ -15,16 +15,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Cosine of two numeric arrays; null if one of them is zero."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def scores(vectors: DataFrame, queries: Column, blocks: int = 8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score): cosine of each row for which ``queries`` holds with every other row.
 
     Queries are dealt to ``blocks`` by a hash of their id, and each vector meets each block once.
+    Rows without an id, and vectors that are null or zero, take no part.
     """
     v = F.col(vec_col).cast("array<double>")
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).select(id_col, v.alias(vec_col), F.sqrt(dot(v, v)).alias("__n"))
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).select(id_col, v.alias(vec_col), F.sqrt(dot(v, v)).alias("__n")).where("__n > 0")
     q = rows.where(queries).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("query_id"), F.col(vec_col).alias("__q"), F.col("__n").alias("__m"))
     v = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col(id_col).alias("vec_id"), F.col(vec_col).alias("__v"), "__n")
     return q.join(v, "block").where("query_id <> vec_id").select("query_id", "vec_id", (dot(F.col("__q"), F.col("__v")) / (F.col("__m") * F.col("__n"))).alias("score"))

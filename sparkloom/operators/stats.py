@@ -42,11 +42,11 @@ def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, qs: lis
 
 
 def weighted_line(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
-    """Weighted least squares y = a + b x per key in one pass: slope, intercept, r2, effective number of rows."""
+    """Weighted least squares y = a + b x per key in one pass: slope, intercept, r2, effective number of rows; null where the weights sum to zero."""
     d = [F.col(c).cast("double") for c in (x, y, w)]
     X, Y, G = d
     s = df.groupBy(*keys).agg(
-        F.sum(G).alias("sw"), F.sum(G * X).alias("sx"), F.sum(G * Y).alias("sy"), F.sum(G * X * X).alias("sxx"), F.sum(G * X * Y).alias("sxy"), F.sum(G * Y * Y).alias("syy"), F.sum(G * G).alias("sww")
+        F.nullif(F.sum(G), F.lit(0.0)).alias("sw"), F.sum(G * X).alias("sx"), F.sum(G * Y).alias("sy"), F.sum(G * X * X).alias("sxx"), F.sum(G * X * Y).alias("sxy"), F.sum(G * Y * Y).alias("syy"), F.nullif(F.sum(G * G), F.lit(0.0)).alias("sww")
     )
     vx, vy, c = (F.expr(e) for e in ("sxx - sx*sx/sw", "syy - sy*sy/sw", "sxy - sx*sy/sw"))
     slope = F.when(vx > 0, c / vx)
@@ -109,9 +109,9 @@ def paired_errors(df: DataFrame, keys: list[str], got: Column, want: Column, sca
 
 
 def two_sided_bins(df: DataFrame, bin_: Column, side: Column, floor: float = 0.015) -> DataFrame:
-    """Share of each bin on both sides of a split; a bin counts with the smaller share, if that reaches ``floor``."""
+    """Share of each bin on both sides of a split; a bin counts with the smaller share, if that reaches ``floor``; a side without rows has shares of zero."""
     c = df.groupBy(bin_.alias("bin")).agg(F.sum(F.when(side, 1).otherwise(0)).alias("a"), F.sum(F.when(side, 0).otherwise(1)).alias("b"))
     t = c.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    share = c.join(F.broadcast(t)).select("bin", (F.col("a") / F.col("ta")).alias("share_a"), (F.col("b") / F.col("tb")).alias("share_b"))
+    share = c.join(F.broadcast(t)).select("bin", F.coalesce(F.try_divide("a", "ta"), F.lit(0.0)).alias("share_a"), F.coalesce(F.try_divide("b", "tb"), F.lit(0.0)).alias("share_b"))
     both = F.least("share_a", "share_b")
     return share.select("bin", "share_a", "share_b", F.when(both >= floor, both).otherwise(0.0).alias("weight"))

@@ -76,3 +76,19 @@ def test_stream_and_batch_agree(spark, sf_dir, tmp_path):
     got = sorted(spark.table("counts").collect(), key=key)
     assert [(key(r), r.n) for r in got] == [(key(r), r.n) for r in sorted(want, key=key)]
     assert all(math.isclose(a.total, b.total) for a, b in zip(got, sorted(want, key=key)))
+
+
+def test_zero_vectors_zero_weights_and_empty_sides_do_not_fail(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import search, stats
+
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0]), (4, None), (None, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in search.scores(v, F.lit(True)).collect()} == {(2, 3), (3, 2)}
+    assert search.scores(v.limit(0), F.lit(True)).collect() == []
+    w = spark.createDataFrame([("a", 1.0, 2.0, 0.0), ("a", 2.0, 3.0, 0.0), ("b", 1.0, 1.0, 1.0), ("b", 2.0, 3.0, 1.0), ("b", None, 3.0, 1.0)], "k string, x double, y double, w double")
+    got = {r.k: (r.slope, r.intercept, r.n_eff) for r in stats.weighted_line(w.where("x IS NOT NULL"), ["k"], "x", "y", "w").collect()}
+    assert got == {"a": (None, None, None), "b": (2.0, -1.0, 2.0)}
+    side = stats.two_sided_bins(w, F.col("k"), F.lit(True))
+    assert {(r.bin, r.share_a, r.share_b, r.weight) for r in side.collect()} == {("a", 0.4, 0.0, 0.0), ("b", 0.6, 0.0, 0.0)}
+    assert stats.two_sided_bins(w.limit(0), F.col("k"), F.lit(True)).collect() == []
