@@ -98,14 +98,10 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     members share stay fixed, and the rest are covered by masks once more.
     """
     spark, links = fps.sparkSession, None
-    frontier, open_masks = fps.select("fp", F.lit(0).cast("long").alias("mask")), [0]
+    full, open_masks = (1 << BITS) - 1, [0]
+    frontier = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in covering_masks(radius)))).alias("mask"))
     while open_masks:
-        full = (1 << BITS) - 1
-        finer = [(_signed(m), _signed(m | n)) for m in open_masks for n in covering_masks(radius, full & ~m)]
-        finer = spark.createDataFrame(finer, "mask long, finer long")
-        spread = frontier.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "fp")
-        if 0 not in open_masks:
-            spread = spread.distinct()  # different masks may lead to one
+        spread = frontier.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         buckets = spread.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         buckets = materialize(buckets.where("n > 1"), "simhash-buckets")
         found = buckets.where((F.col("n") == 2) & (_apart(F.col("a"), F.col("b")) <= radius)).select("a", "b")
@@ -118,6 +114,10 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
             found = found.union(_forest(members.where(~huge), radius))
             frontier = materialize(members.where(huge).select("mask", "fp").distinct(), "simhash-huge")
             open_masks = [r.mask & full for r in frontier.select("mask").distinct().collect()]  # masks of levels above, 15 for each
+            finer = [(_signed(m), _signed(m | n)) for m in open_masks for n in covering_masks(radius, full & ~m)]
+            finer = spark.createDataFrame(finer, "mask long, finer long")
+            # different masks may lead to one
+            frontier = frontier.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")).distinct()
         links = found if links is None else links.union(found)
     return links.distinct()
 
