@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sparkloom.llm import ann, byte_bpe, conversations, divergence, exact_dedup, packing, quality, sharding, simhash, token_counts, url_filter, warc
+from sparkloom.llm import ann, byte_bpe, conversations, divergence, exact_dedup, lm, packing, quality, sharding, simhash, token_counts, url_filter, warc
 from sparkloom.plans.registry import load
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,6 +59,10 @@ def op10_nearest(spark, sf_dir):
     return ann.nearest(load(spark, sf_dir, "embeddings"))
 
 
+def op11_lm_score(spark, sf_dir):
+    return lm.score(load(spark, sf_dir, "documents"), *BYTE_BPE[1:])
+
+
 def op12_conversations(spark, sf_dir):
     return conversations.repair(conversations.damaged(load(spark, sf_dir, "conversations")))
 
@@ -67,7 +71,7 @@ def op13_divergence(spark, sf_dir):
     return divergence.audit(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_simhash, op2_exact_dedup, op3_quality, op4_url_filter, op5_packing, op6_sharding, op7_token_counts, op8_byte_bpe, op9_warc, op10_nearest, op12_conversations, op13_divergence)
+_ALL = (op1_simhash, op2_exact_dedup, op3_quality, op4_url_filter, op5_packing, op6_sharding, op7_token_counts, op8_byte_bpe, op9_warc, op10_nearest, op11_lm_score, op12_conversations, op13_divergence)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
