@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators import stats
+from sparkloom.operators import ranks, stats
 from sparkloom.staging import materialize
 
 #: Fixed value: reach of the biweight in standard deviations.
@@ -54,23 +54,19 @@ def plane(df: DataFrame, keys: list[str], x: Column, y: Column, value: Column, w
 
 def mid_quantiles(df: DataFrame, key: str, value: str, weight: Column) -> DataFrame:
     """(key, value, q): cumulative weight below a value plus half of its own, as a share; one row per distinct value."""
-    steps = df.select(key, value, weight.cast("double").alias("w")).where(F.col(value).isNotNull() & (F.col("w") > 0)).groupBy(key, value).agg(F.sum("w").alias("w"))
-    w = W.partitionBy(key)
-    below = F.coalesce(F.sum("w").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return steps.select(key, value, ((below + F.col("w") / 2) / F.sum("w").over(w)).alias("q"))
+    return ranks.mid_shares(df, key, value, weight.cast("double")).select(key, value, "q")
 
 
 def quantile_map(source: DataFrame, target: DataFrame, key: str, value: str, weight: Column) -> DataFrame:
     """(key, value, mapped): each distinct source value at its quantile of the target, linear between target values.
 
     Beyond the target's ends its first or last value; null for keys without a
-    target. One union and one window per key.
+    target. Ranges of a key are mapped apart, the borders are carried over.
     """
     s = mid_quantiles(source, key, value, weight).select(key, "q", F.col(value).cast("double").alias("v"), F.lit(1).alias("side"))
     t = mid_quantiles(target, key, value, weight).select(key, "q", F.col(value).cast("double").alias("v"), F.lit(0).alias("side"))
     at = F.when(F.col("side") == 0, F.struct("q", "v"))
-    w = W.partitionBy(key).orderBy("q", "side")
-    both = s.unionByName(t).withColumn("lo", F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("hi", F.first(at, True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    both = ranks.between(s.unionByName(t).withColumn("at", at), [key], ["q", "side"], "at")
     lo, hi = F.col("lo"), F.col("hi")
     part = (F.col("q") - lo["q"]) / (hi["q"] - lo["q"])
     mapped = F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["q"] == F.col("q")), lo["v"]).otherwise(lo["v"] + part * (hi["v"] - lo["v"]))
@@ -88,6 +84,19 @@ def weighted_cdf(df: DataFrame, value: Column, weight: Column, bins: int, top: f
     return full.select("bin", (upto / every).alias("cdf"))
 
 
+def cdf_at(cdf: DataFrame, points: DataFrame, x: Column, bins: int, top: float) -> DataFrame:
+    """``points`` with ``share``: `weighted_cdf` between its bins, linearly; values are clamped to 0 .. ``top``, null stays null.
+
+    The cdf (a row for each of ``bins`` bins) is broadcast.
+    """
+    pos = F.least(F.greatest(x / top, F.lit(0.0)), F.lit(1.0)) * (bins - 1)
+    rows = points.withColumn("__pos", pos.cast("double")).withColumn("__bin", F.floor("__pos").cast("int"))
+    after = F.coalesce(F.lead("cdf").over(W.orderBy("bin")), F.col("cdf"))
+    line = cdf.select(F.col("bin").alias("__bin"), F.col("cdf").alias("__lo"), after.alias("__hi"))
+    part = F.col("__pos") - F.col("__bin")
+    return rows.join(F.broadcast(line), "__bin", "left").select(*points.columns, (F.col("__lo") * (1 - part) + F.col("__hi") * part).alias("share"))
+
+
 def merge_exposures(df: DataFrame, keys: list[str], value: Column, ev: Column) -> DataFrame:
     """Radiance per key from readings in 0 .. 1 taken at ``ev`` stops more light, and the number of readings heard.
 

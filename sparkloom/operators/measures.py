@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators import stats
+from sparkloom.operators import ranks, stats
 
 
 def binned_quantiles(df: DataFrame, key: str, value: Column, low: float, high: float, bins: int, parts: int) -> DataFrame:
@@ -42,9 +42,8 @@ def mass_bands(df: DataFrame, key: str, value: str, weight: str, bands: int) ->
     A value belongs to the band in which the middle of its weight falls.
     """
     steps = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(key, value).agg(F.sum(weight).alias("w"))
-    w = W.partitionBy(key)
-    mid = F.sum("w").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("w") / 2
-    banded = steps.select(key, value, "w", F.floor(bands * mid / F.sum("w").over(w)).cast("int").alias("band"))
+    r = ranks.running(steps, [key], [value], {"w": "w"})
+    banded = r.select(key, value, "w", F.floor(bands * (F.col("w_below") + F.col("w") / 2) / F.col("w_all")).cast("int").alias("band"))
     return banded.groupBy(key, "band").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("w").alias("mass"))
 
 
@@ -67,7 +66,7 @@ def biweight_mean(df: DataFrame, key: str, value: str, reach: float = 4.685, flo
     """(key, mean, n): mean with weights (1 - u*u)**2 for u = distance from the median in ``reach`` scaled MADs, 0 beyond."""
     u = (F.col(value) - F.col("med")) / (reach * F.greatest(1.4826 * F.col("mad"), F.lit(floor)))
     w = F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)
-    return stats.deviations(df, key, value).groupBy(key).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("mean"), F.count(value).alias("n"))
+    return ranks.deviations(df, key, value).groupBy(key).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("mean"), F.count(value).alias("n"))
 
 
 def fused(frames: DataFrame, keys: list[str], value: Column, weight: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators import ranks
 
 def histogram(df: DataFrame, value: Column, bins: int, top: float, keys: list[str] | None = None) -> DataFrame:
     """Counts per bin ``floor((bins-1) * value / top)``, clamped to the ends; empty bins included when there are no keys."""
@@ -35,10 +36,7 @@ def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, qs: lis
 
     Equal values are one step; weights of zero or less, and nulls, are left out.
     """
-    steps = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(key, value).agg(F.sum(weight).alias("w"))
-    w = W.partitionBy(key)
-    cum = steps.select(key, value, F.sum("w").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)).alias("c"), F.sum("w").over(w).alias("t"))
-    return cum.groupBy(key).agg(*(F.min(F.when(F.col("c") >= q * F.col("t"), F.col(value))).alias(f"q{round(100 * q):02d}") for q in qs))
+    return ranks.step_quantiles(df, key, value, F.col(weight), qs)
 
 
 def weighted_line(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
@@ -55,37 +53,24 @@ def weighted_line(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> Dat
 
 def mid_ranks(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n, mid): share of rows below a value plus half of those at it; one row per distinct value."""
-    steps = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    w = W.partitionBy(key)
-    below = F.coalesce(F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return steps.select(key, value, "n", ((below + F.col("n") / 2) / F.sum("n").over(w)).alias("mid"))
+    return ranks.mid_shares(df, key, value, F.lit(1)).select(key, value, F.col("w").cast("long").alias("n"), F.col("q").alias("mid"))
 
 
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """The element at position n div 2 (from 0) of the sorted values of each key."""
-    w = W.partitionBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(key, F.col(value).alias("upper_median"), "n")
-
-
-def deviations(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Every row with its key's median and median absolute deviation (columns med, mad)."""
-    med = df.groupBy(key).agg(F.median(value).alias("med"))
-    with_med = df.join(med, key)
-    mad = with_med.groupBy(key).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return with_med.join(mad, key)
+    return ranks.medians(df, key, value).select(key, F.col("upper").alias("upper_median"), "n")
 
 
 def robust_mean(df: DataFrame, key: str, value: str, floor: float = 1e-5) -> DataFrame:
     """Mean per key with weights exp(-((x - median) / max(3 MAD, floor))**2): far values fade out."""
     z = (F.col(value) - F.col("med")) / F.greatest(3 * F.col("mad"), F.lit(floor))
     w = F.exp(-z * z)
-    return deviations(df, key, value).groupBy(key).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("robust_mean"), F.count(value).alias("n"))
+    return ranks.deviations(df, key, value).groupBy(key).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("robust_mean"), F.count(value).alias("n"))
 
 
 def outliers(df: DataFrame, key: str, value: str, sigmas: float = 20.0) -> DataFrame:
     """Rows farther than ``sigmas`` times 1.4826 MAD from their key's median."""
-    return deviations(df, key, value).where(F.abs(F.col(value) - F.col("med")) > sigmas * 1.4826 * F.col("mad"))
+    return ranks.deviations(df, key, value).where(F.abs(F.col(value) - F.col("med")) > sigmas * 1.4826 * F.col("mad"))
 
 
 def z_scores(df: DataFrame, key: str, value: str, least: int = 3) -> DataFrame:

@@ -1,3 +1,3 @@
 """Queries; importing the package registers them."""
 
-from sparkloom.plans import core, further, more  # noqa: F401
+from sparkloom.plans import core, further, more, solving  # noqa: F401
