@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import align, bands, fits, ranks, raster, spectrum
+from sparkloom.operators import align, bands, fits, ranks, raster, resample, solve, spectrum
 from sparkloom.plans.more import _rounded
 from sparkloom.plans.registry import load, query
 from sparkloom.staging import materialize
@@ -201,3 +201,75 @@ def _(spark, d):
     fixed = s.where("y BETWEEN 2 AND 37 AND x BETWEEN 1 AND 36").withColumns({"y": c("y") - 2, "x": c("x") - 1})
     moving = s.where("y BETWEEN 1 AND 36 AND x BETWEEN 3 AND 38").withColumns({"y": c("y") - 1, "x": c("x") - 3})
     return _rounded(align.align(fixed, moving, 36, 36, ["k"], levels=3), {n: 3 for n in align.NAMES} | {"cost": 6})
+
+# ----------------------------------------------------------------- solvers
+
+
+_SERIES = "s AS (SELECT p_size AS i, count(*)::DOUBLE AS n, sum(p_retailprice) / 1000 AS t FROM part GROUP BY 1), q AS (SELECT row_number() OVER (ORDER BY i) AS i, n, t FROM s), k AS (SELECT max(i) AS m FROM q)"
+
+
+def _series(spark, d, stiffness=20.0):
+    """The normal equations of a smooth series: fidelity to the means of parts by size, and a penalty on differences."""
+    s = load(spark, d, "part").groupBy("p_size").agg(F.count("*").cast("double").alias("n"), (F.sum("p_retailprice") / 1000).alias("b"))
+    q = materialize(ranks.running(s.withColumn("one", F.lit(1)), ["one"], ["p_size"], {"c": "one"}).select((c("c_below") + 1).alias("i"), "n", "b", c("c_all").alias("m")), "series")
+    near = F.array(F.struct((c("i") - 1).alias("j")), F.struct((c("i") + 1).alias("j")))
+    off = q.select("i", "m", F.explode(near).alias("e")).where("e.j BETWEEN 1 AND m").select("i", c("e.j").alias("j"), F.lit(-stiffness).alias("a"))
+    ends = F.when((c("i") == 1).cast("int") + (c("i") == c("m")).cast("int") > 0, stiffness * (2 - (c("i") == 1).cast("int") - (c("i") == c("m")).cast("int"))).otherwise(2 * stiffness)
+    matrix = off.unionByName(q.select("i", c("i").alias("j"), (c("n") + ends).alias("a")))
+    return matrix, q.select("i", "b")
+
+
+@query("smooth_series", f"""WITH RECURSIVE {_SERIES}, a AS (SELECT i, t AS b, n + 20.0 * ((i > 1)::INT + (i < m)::INT) AS d FROM q, k),
+    f AS (SELECT i, d, b FROM a WHERE i = 1 UNION ALL SELECT a.i, a.d - 400.0 / f.d, a.b + 20.0 * f.b / f.d FROM f JOIN a ON a.i = f.i + 1),
+    r AS (SELECT i, b / d AS x FROM f, k WHERE i = m UNION ALL SELECT f.i, (f.b + 20.0 * r.x) / f.d FROM r JOIN f ON f.i = r.i - 1) SELECT i, round(x, 6) AS x FROM r""")
+def _(spark, d):
+    matrix, rhs = _series(spark, d)
+    return _rounded(solve.conjugate_gradients(matrix, rhs).select("i", "x"), {"x": 6})
+
+
+@query("bounded_series")
+def _(spark, d):
+    """The same series between bounds; no SQL follows the active set, `tests/test_solvers.py` checks the conditions of the least."""
+    matrix, rhs = _series(spark, d)
+    return _rounded(solve.bounded_solve(matrix, rhs, F.lit(1.45), F.lit(1.5)), {"x": 6})
+
+
+@query("projected_curves")
+def _(spark, d):
+    """Mean price of parts by size, as a rising curve of bounded slope for each brand; see `tests/test_solvers.py` for the conditions."""
+    out = solve.project_curves(load(spark, d, "part"), "p_brand", "p_size", c("p_retailprice") / 100, F.lit(1.0), F.lit(9.0), F.lit(20.0), 0.0, 0.25)
+    return _rounded(out, {"target": 6, "mass": 6, "value": 5})
+
+
+# -------------------------------------------------- resampling, accumulators
+
+
+@query("bootstrap_means", f"""WITH r AS (SELECT o_orderpriority AS k, o_totalprice AS v, r, o_orderkey FROM orders, range(40) t(r)),
+    u1 AS (SELECT k, v, r, (o_orderkey % 2147483647 * 48271 + r * 69621 + 12345) % 2147483647 AS u FROM r), u2 AS (SELECT k, v, r, ((u * u + 16807) % 2147483647 * 48271 + r * 16807 + 7) % 2147483647 AS u FROM u1),
+    u3 AS (SELECT k, v, r, ((u * u + 39373) % 2147483647 * 48271 + r * 39373 + 11) % 2147483647 AS u FROM u2), t AS (SELECT k, v, r, {" + ".join(f"(u >= {x})::INT" for x in resample.poisson_steps())} AS n FROM u3)
+    SELECT k, r::INT AS replicate, sum(n)::BIGINT AS n, round(sum(n * v) / sum(n), 4) AS mean FROM t GROUP BY 1, 2 HAVING sum(n) > 0""")
+def _(spark, d):
+    rows = load(spark, d, "orders").withColumnRenamed("o_orderpriority", "k")
+    return _rounded(resample.bootstrap(rows, "k", "o_orderkey", c("o_totalprice"), replicates=40), {"mean": 4})
+
+
+_ERRORS = """e AS (SELECT metric_ AS metric, part, got, want FROM (SELECT l_returnflag || l_linestatus AS metric_, l_suppkey % 3 AS part, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount END AS got, l_tax AS want FROM lineitem))"""
+
+
+def _errors(spark, d):
+    rows = load(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("metric"), (c("l_suppkey") % 3).alias("part"), F.when(c("l_linenumber") != 7, c("l_discount")).alias("got"), c("l_tax").alias("want"))
+    return rows.withColumn("run", F.lit("all"))
+
+
+@query("eval_report", f"""WITH {_ERRORS} SELECT 'all' AS run, metric, count(got) AS n, round(avg(abs(got - want)), 8) AS mae, round(avg(got - want), 8) AS bias, (count(*) - count(got))::BIGINT AS omit, count(got) < 20 AS low FROM e GROUP BY 2""")
+def _(spark, d):
+    states = resample.partial_errors(_errors(spark, d), ["run", "part"], "metric", c("got"), c("want"))
+    return _rounded(resample.report(resample.merge(states, ["run"]), ["run"]), {"mae": 8, "bias": 8})
+
+
+@query("eval_gaps", f"""WITH {_ERRORS}, m AS (SELECT metric, count(got) AS n, avg(abs(got - want)) / CASE WHEN metric LIKE 'N%' THEN 0.1 ELSE 0.08 END AS s FROM e GROUP BY 1 HAVING count(got) > 0)
+    SELECT 'all' AS run, round(100 * avg(s), 6) AS gap, round(100 * sum(n * s) / sum(n), 6) AS weighted_gap FROM m""")
+def _(spark, d):
+    states = resample.partial_errors(_errors(spark, d), ["run", "part"], "metric", c("got"), c("want"))
+    found = resample.gaps(resample.merge(states, ["run"]), ["run"], F.when(c("metric").startswith("N"), 0.1).otherwise(0.08))
+    return _rounded(found, {"gap": 6, "weighted_gap": 6})
