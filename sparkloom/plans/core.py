@@ -205,7 +205,7 @@ def _(spark, d):
     return load(spark, d, "customer").join(load(spark, d, "orders").where("o_totalprice > 400000"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
-@query("sanitize_text", r"""SELECT doc_id, substr(trim(regexp_replace(text, '[\x00-\x20\x7f]+', ' ', 'g')), 1, 200) AS text FROM documents""")
+@query("sanitize_text", f"""SELECT doc_id, nullif(rtrim(substr(trim(regexp_replace(text, '[{texts.SPACE}{texts.INVISIBLE}]+', ' ', 'g')), 1, 200)), '') AS text FROM documents""")
 def _(spark, d):
     return load(spark, d, "documents").select("doc_id", texts.sanitize(c("text")).alias("text"))
 
@@ -216,7 +216,12 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", a.alias("a")).select("page_id", F.size("a").cast("long").alias("n"), F.array_join("a", " ").alias("hrefs"))
 
 
-@query("xml_unescape", """SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')) AS digest FROM pages""")
+@query("xml_unescape", """WITH t AS (SELECT page_id, regexp_extract_all(html, '&[^;]*;|[^&]+|&') AS parts FROM pages),
+    p AS (SELECT page_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM t),
+    c AS (SELECT *, CASE WHEN regexp_full_match(t, '&#[xX][+]?[0-9A-Fa-f]+;') THEN try_cast('0x' || regexp_extract(t, '([0-9A-Fa-f]+);', 1) AS BIGINT) WHEN regexp_full_match(t, '&#[+]?[0-9]+;') THEN try_cast(regexp_extract(t, '[0-9]+') AS BIGINT) END AS n FROM p),
+    d AS (SELECT page_id, i, CASE t WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN chr(39) WHEN '&amp;' THEN '&' ELSE
+        CASE WHEN n IN (9, 10, 13) OR n BETWEEN 32 AND 126 OR n BETWEEN 160 AND 55295 OR n BETWEEN 57344 AND 65533 OR n BETWEEN 65536 AND 1114111 THEN chr(n::INT) ELSE t END END AS t FROM c)
+    SELECT page_id, sha256(coalesce(string_agg(t, '' ORDER BY i), '')) AS digest FROM pages LEFT JOIN d USING (page_id) GROUP BY 1""")
 def _(spark, d):
     return load(spark, d, "pages").select("page_id", F.sha2(texts.xml_unescape(c("html")), 256).alias("digest"))
 

@@ -176,7 +176,7 @@ def _(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(markup.fraction(text), 6).alias("value"))
 
 
-@query("strip_invisible", "SELECT doc_id, text AS clean FROM documents")
+@query("strip_invisible", r"SELECT doc_id, regexp_replace(chr(8203) || text || chr(65279) || chr(8288), '\p{Cf}', '', 'g') AS clean FROM documents")
 def _(spark, d):
     marked = F.concat(F.lit("​"), c("text"), F.lit("﻿⁠"))
     return load(spark, d, "documents").select("doc_id", markup.strip_invisible(marked).alias("clean"))
