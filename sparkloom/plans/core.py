@@ -34,7 +34,13 @@ def _(spark, d):
     return search.top_k(z, 4).select("query_id", c("rank").cast("long").alias("rank"), "vec_id", F.round("z", 4).alias("z"))
 
 
-@query("scene_search_diverse")
+_FAR = "NOT EXISTS (SELECT 1 FROM {t} t JOIN embeddings a ON a.vec_id = t.vec_id JOIN embeddings b ON b.vec_id = s.vec_id WHERE t.query_id = s.query_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2)"
+
+
+@query("scene_search_diverse", _SEARCH + f""", one AS (SELECT query_id, 1 AS rank, vec_id, score FROM r WHERE rank = 1),
+    two AS (SELECT query_id, 2 AS rank, vec_id, score FROM s WHERE {_FAR.format(t='one')} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1), pair AS (FROM one UNION ALL FROM two),
+    three AS (SELECT query_id, 3 AS rank, vec_id, score FROM s WHERE {_FAR.format(t='pair')} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1)
+    SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (FROM pair UNION ALL FROM three)""")
 def _(spark, d):
     v = load(spark, d, "embeddings")
     return search.diverse_top_k(_scored(spark, d), v, k=3, near=0.2).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import align, bands, fits, ranks, raster, resample, solve, spectrum
+from sparkloom.operators import align, bands, fits, grid, ranks, raster, resample, solve, spectrum
 from sparkloom.plans.more import _rounded
 from sparkloom.plans.registry import load, query
 from sparkloom.staging import materialize
@@ -273,3 +273,22 @@ def _(spark, d):
     states = resample.partial_errors(_errors(spark, d), ["run", "part"], "metric", c("got"), c("want"))
     found = resample.gaps(resample.merge(states, ["run"]), ["run"], F.when(c("metric").startswith("N"), 0.1).otherwise(0.08))
     return _rounded(found, {"gap": 6, "weighted_gap": 6})
+
+
+# -------------------------------------------------------------- morphology
+
+_GAPS = f"{_GRID.format(n=40)}, m AS (SELECT y, x, round(value, 6) AS v FROM g WHERE (x * 7 + y * 3) % 5 <> 0)"
+
+
+@query("spread_least", f"WITH {_GAPS} SELECT a.y, a.x, min(b.v) AS spread FROM m a JOIN m b ON abs(a.y - b.y) <= 4 AND abs(a.x - b.x) <= 4 GROUP BY 1, 2")
+def _(spark, d):
+    m = _grid(spark, d, 40).where((c("x") * 7 + c("y") * 3) % 5 != 0).withColumn("value", F.round("value", 6))
+    return grid.spread(m, [], "value", 4, True)
+
+
+@query("morph_mask", f"""WITH {_GAPS}, b AS (SELECT y, x, CASE WHEN v > 0.5 THEN 255 ELSE 0 END AS v FROM m)
+    SELECT -2 AS r, a.y, a.x, min(b.v) AS spread FROM b a JOIN b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 2, 3
+    UNION ALL SELECT 3, a.y, a.x, max(b.v) FROM b a JOIN b ON abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY 2, 3""")
+def _(spark, d):
+    m = _grid(spark, d, 40).where((c("x") * 7 + c("y") * 3) % 5 != 0).withColumn("value", F.when(F.round("value", 6) > 0.5, 255).otherwise(0))
+    return grid.morph(m, [], "value", -2).select(F.lit(-2).alias("r"), "y", "x", "spread").unionByName(grid.morph(m, [], "value", 3).select(F.lit(3).alias("r"), "y", "x", "spread"))

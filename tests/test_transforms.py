@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import align, bands, raster, spectrum
+from sparkloom.operators import align, bands, grid, raster, spectrum
 
 
 def cells(spark, *grids, name="k"):
@@ -116,3 +116,16 @@ def test_patches_read_bilinearly(spark):
     assert p[2, 3].p11.v == g[3, 4] and p[2, 3].p10.v == g[3, 3] and p[4, 5].p01 is None
     assert p[2, 3].p00.gx == pytest.approx((g[2, 4] - g[2, 2]) / 2) and p[0, 0].p00.gy == pytest.approx((g[1, 0] - g[0, 0]) / 2)
     assert raster.gauss_taps(1.0, 1)[1] == 1.0
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3])
+def test_spread_over_gaps(spark, radius):
+    rng = np.random.default_rng(radius)
+    g = rng.random((12, 15))
+    there = rng.random((12, 15)) < 0.45
+    rows = [(y, x, None if (y + x) % 9 == 0 else float(g[y, x])) for y in range(12) for x in range(15) if there[y, x]]
+    df = spark.createDataFrame(rows, "y int, x int, v double")
+    for least, pick in ((True, min), (False, max)):
+        got = {(r.y, r.x): r.spread for r in grid.spread(df, [], "v", radius, least).collect()}
+        want = {(y, x): pick((v for a, b, v in rows if v is not None and abs(a - y) <= radius and abs(b - x) <= radius), default=None) for y, x, _ in rows}
+        assert got == want
