@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import align, bands, fits, grid, ranks, raster, resample, solve, spectrum
+from sparkloom.operators import align, bands, fits, grid, perspective, ranks, raster, resample, solve, spectrum
 from sparkloom.plans.more import _rounded
 from sparkloom.plans.registry import load, query
 from sparkloom.staging import materialize
@@ -292,3 +292,16 @@ def _(spark, d):
 def _(spark, d):
     m = _grid(spark, d, 40).where((c("x") * 7 + c("y") * 3) % 5 != 0).withColumn("value", F.when(F.round("value", 6) > 0.5, 255).otherwise(0))
     return grid.morph(m, [], "value", -2).select(F.lit(-2).alias("r"), "y", "x", "spread").unionByName(grid.morph(m, [], "value", 3).select(F.lit(3).alias("r"), "y", "x", "spread"))
+
+
+# ------------------------------------------------------------- perspective
+
+
+@query("line_families", f"""WITH {_GRID.format(n=40)}, s AS (SELECT g.y, g.x, (r.value - l.value) * 0.5 * 39 AS a, (d.value - u.value) * 0.5 * 39 AS b, g.x / 39.0 - 0.5 AS p, g.y / 39.0 - 0.5 AS q FROM g
+        JOIN g l ON l.y = g.y AND l.x = g.x - 1 JOIN g r ON r.y = g.y AND r.x = g.x + 1 JOIN g u ON u.x = g.x AND u.y = g.y - 1 JOIN g d ON d.x = g.x AND d.y = g.y + 1),
+    f AS (SELECT *, -(a * p + b * q) AS c, sqrt(a * a + b * b) AS w, CASE WHEN abs(b) <= abs(a) * {perspective.CONE_TANGENT} THEN 'V' WHEN abs(a) <= abs(b) * {perspective.CONE_TANGENT} THEN 'H' END AS family FROM s WHERE sqrt(a * a + b * b) >= 0.05)
+    SELECT family, count(*) AS n, round(sum(w * a * a), 4) AS aa, round(sum(w * a * b), 4) AS ab, round(sum(w * a * c), 4) AS ac, round(sum(w * b * b), 4) AS bb, round(sum(w * b * c), 4) AS bc, round(sum(w * c * c), 4) AS cc,
+    round(sum(w * (b * b - a * a) / (w * w)), 6) AS c2, round(sum(w * -2 * a * b / (w * w)), 6) AS s2 FROM f WHERE family IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    votes = perspective.lines(_grid(spark, d, 40), 40, 40, [], stride=1)
+    return _rounded(perspective.moments(votes, [], c("size")), {m: 4 for m in ("aa", "ab", "ac", "bb", "bc", "cc")} | {"c2": 6, "s2": 6})

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import align, bands, grid, raster, spectrum
+from sparkloom.operators import align, bands, grid, perspective, raster, spectrum
 
 
 def cells(spark, *grids, name="k"):
@@ -129,3 +129,18 @@ def test_spread_over_gaps(spark, radius):
         got = {(r.y, r.x): r.spread for r in grid.spread(df, [], "v", radius, least).collect()}
         want = {(y, x): pick((v for a, b, v in rows if v is not None and abs(a - y) <= radius and abs(b - x) <= radius), default=None) for y, x, _ in rows}
         assert got == want
+
+
+def test_planted_vanishing_points(spark):
+    h, w = 81, 101
+    v, u = np.mgrid[:h, :w] / np.array([h - 1, w - 1]).reshape(2, 1, 1) - 0.5
+    px, py = 0.1, -2.0  # lines through this point: stripes by angle about it
+    stripes = np.sin(40 * np.arctan2(u - px, v - py))
+    stripes[30:45, 20:60] += np.sin(9 * (u + 3 * v))[30:45, 20:60]  # lines of another direction
+    flat = np.full((h, w), 0.5)
+    got = {(r.k, r.family): r for r in perspective.vanishing_points(cells(spark, stripes, flat), h, w, ["k"], least=200).collect()}
+    r = got[0, "V"]
+    assert (r.pa / r.pc, r.pb / r.pc) == pytest.approx((px, py), abs=0.03) and not any(k == 1 for k, _ in got)
+    assert abs(r.angle) == pytest.approx(np.pi / 2, abs=0.15)
+    few = perspective.vanishing_points(cells(spark, stripes), h, w, ["k"], least=10**6).collect()
+    assert all(r.pa is None for r in few)
