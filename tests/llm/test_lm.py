@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,13 @@ def test_counts_equal_brute_force(spark, known_words):
     assert got == brute_base(rows)
 
 
+def test_words_are_split_at_ascii_space_alone():
+    texts = ["  a b ", "", "x\x0b\x0cy\tz\n\r q\x1fr\x1c", "\u00a0k l\u2003m", " ", "\x85n"]
+    words, sizes = lm.split_words(pa.array(["skipped", *texts]).slice(1))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in t.encode().split()] and sizes.tolist() == [len(t.encode().split()) for t in texts]
+    assert list(lm.pieces(pa.array(texts))) == [(0, 6)] and list(lm.pieces(pa.array([], pa.string()))) == []
+
+
 def plain_model(texts, seed=0, size=50):
     """A model with the tables of some texts of few ids and random weights."""
     end = size - 1
@@ -57,11 +65,10 @@ def plain_model(texts, seed=0, size=50):
     n, target = pairs.sum(axis=0), lm.classes_of(bins)
     group = np.minimum(np.arange(size), lm.GROUPS - 1)
     after = np.stack([np.bincount(target, weights=r, minlength=lm.CLASSES) for r in pairs])
-    by_group = np.zeros((lm.GROUPS, size), dtype=np.int64)
-    by_group[group] = pairs
+    cells = np.flatnonzero(pairs)
     rng = np.random.default_rng(seed)
     p = {k: (v + rng.normal(0, 0.5, v.shape)).astype(np.float32) for k, v in lm.fresh_parameters().items()}
-    return lm.Model(lm.Tables(target, target[::-1].copy(), lm.class_shares(after, n, target)), group, lm.id_shares(by_group, n, target), p)
+    return lm.Model(lm.Tables(target, target[::-1].copy(), lm.class_shares(after, n, target)), group, n, cells, pairs.ravel()[cells], p)
 
 
 def plain_log10(m, text):
@@ -140,6 +147,14 @@ def test_held_out_texts_are_foretold(spark):
     assert s.base < s.score < 0
 
 
+def test_words_are_encoded_together():
+    encoding = lm._encoding(*RANKS)
+    opens = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(encoding.n_vocab)])
+    for words in (["the", "été", "x1.", "日本", "\x1f"], ["a\u00a0", "\u00a0b", "c"], ["\u2003", "d\u2003"], []):
+        got = lm.encode_words([w.encode() for w in words], encoding, opens)
+        assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [encoding.encode_ordinary(" " + w) for w in words]
+
+
 def test_empty_and_untrained_tables(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA), *RANKS).collect() == []
     held = next(i for i in range(100) if is_held_out(i))
