@@ -232,5 +232,10 @@ def top_pairs(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
+    """Row by row, in double precision.
+
+    Each side is first scaled by a power of two to a largest component near 1,
+    which is exact, so no square leaves the range of doubles.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))

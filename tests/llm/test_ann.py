@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sparkloom.llm import ann
 
@@ -64,3 +65,11 @@ def test_few_distinct_vectors_are_exact(spark, monkeypatch):
     few = [i for i, c in enumerate(kinds) if sizes[c] < 5] + [0, 7]
     want = {w[:3] for w in brute(rows, 1, 5) if w[0] in few}
     assert len(got) == 5 * len(rows) and {g[:3] for g in got if g[0] in few} == want
+
+
+def test_scores_at_the_ends_of_double(spark):
+    vectors = [(0, [1e-320, 0.0]), (1, [1.0, 0.0]), (2, [1e200, 1e200]), (3, [5e-324, 5e-324]), (4, [-1.7e308, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(df).collect()}
+    root = 0.5**0.5
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in {(0, 1): 1.0, (0, 2): root, (0, 3): root, (0, 4): -1.0}.items()}
