@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.text import LOWER, UPPER
 from sparkloom.operators.joins import lookup
-from sparkloom.staging import materialize
+from sparkloom.staging import BROADCAST_BYTES, materialize
 
 #: An unknown word of n letters is as likely as UNKNOWN_COUNT / 10**n occurrences among all words.
 UNKNOWN_COUNT = 10.0
+#: Of a word and its count in a worker's dictionary, about.
+WORD_BYTES = 64
 #: Added to the count of every word in every class.
 SMOOTHING = 1.0
 _MARKUP = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>"
@@ -103,13 +105,52 @@ def likeliest_split(length: int, known: dict[tuple[int, int], float], total: flo
     return ends[::-1]
 
 
+def stretches(counts: dict[str, int]) -> dict[str, list[int]]:
+    """The lengths of the known words that begin with the same (up to three) letters."""
+    found: dict[str, set[int]] = {}
+    for word in counts:
+        found.setdefault(word[:3], set()).add(len(word))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def known_in(name: str, counts: dict[str, int], lengths: dict[str, list[int]]) -> dict[tuple[int, int], int]:
+    """(start, letters) and count of the known words in a name, trying the lengths that words with its next letters have."""
+    out = {}
+    for start in range(len(name)):
+        for first in (1, 2, 3):
+            for letters in lengths.get(name[start : start + first], ()) if start + first <= len(name) else ():
+                n = counts.get(name[start : start + letters]) if start + letters <= len(name) else None
+                if n:
+                    out[start, letters] = n
+    return out
+
+
 def segment(names: DataFrame, words: DataFrame) -> DataFrame:
-    """(name, words): each distinct name of ``names`` split into its likeliest words by the unigram counts ``words``.
+    """(name, words): each distinct name of ``names`` split into its likeliest words by the unigram counts ``words`` (a written table).
 
-    All stretches of a name that are no longer than the longest word are looked
-    up in the table of words, by broadcast or by shuffle as its size allows.
-    A name with no known word in it is one unknown word.
+    A dictionary of few enough bytes is sent to the workers, which look up the
+    stretches of a name there; a larger one is joined by shuffle. A name with
+    no known word in it is one unknown word.
     """
+    if words.count() * WORD_BYTES > BROADCAST_BYTES:
+        return segment_by_join(names, words)
+    counts = {r.word: r.n for r in words.collect()}
+    sent, total = names.sparkSession.sparkContext.broadcast(counts), sum(counts.values()) or 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, lengths = sent.value, stretches(sent.value)
+        for b in batches:
+            out = []
+            for name in b.column(0).to_pylist():
+                ends = likeliest_split(len(name), known_in(name, known, lengths), total)
+                out.append([name[i:j] for i, j in zip([0, *ends], ends)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
+
+    return names.select("name").mapInArrow(run, "name string, words array<string>")
+
+
+def segment_by_join(names: DataFrame, words: DataFrame) -> DataFrame:
+    """`segment` for a dictionary of any size: all stretches of a name that are no longer than the longest word are looked up by join."""
     total, longest = words.agg(F.coalesce(F.sum("n"), F.lit(1)), F.coalesce(F.max(F.length("word")), F.lit(1))).first()
     start = F.explode(F.sequence(F.lit(0), F.length("name") - 1)).alias("start")
     letters = F.explode(F.sequence(F.lit(1), F.least(F.length("name") - F.col("start"), F.lit(longest)))).alias("letters")

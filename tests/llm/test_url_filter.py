@@ -1,6 +1,9 @@
 import itertools
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 import pytest
@@ -124,3 +127,27 @@ def test_segmentation_is_the_likeliest(name, counts):
     known = {(i, len(w)): n for w, n in counts.items() for i in range(len(name)) if name.startswith(w, i)}
     ends = U.likeliest_split(len(name), known, sum(counts.values()) or 1)
     assert math.isclose(cost([name[a:b] for a, b in zip([0, *ends], ends)]), least, abs_tol=1e-9)
+
+
+def test_dictionary_and_join_split_alike(spark):
+    words = ["a", "in", "the", "then", "hen", "example", "ample", "exam", "x" * 40]
+    names = ["theninexample", "a", "xx", "x" * 45, "qqthehen", "ina", "examplea", "zthen"]
+    counts = spark.createDataFrame([(w, 3 + i) for i, w in enumerate(words)], "word string, n long")
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    of = lambda f: {r.name: list(r.words) for r in f(table, counts).collect()}
+    assert of(U.segment) == of(U.segment_by_join)
+    few = U.BROADCAST_BYTES
+    try:
+        U.BROADCAST_BYTES = 0
+        assert of(U.segment) == of(U.segment_by_join)
+    finally:
+        U.BROADCAST_BYTES = few
+
+
+def test_a_very_long_name_ends_soon(spark):
+    rng = random.Random(0)
+    name = "".join(rng.choice(string.ascii_lowercase) for _ in range(100_000))
+    pages = spark.createDataFrame([(1, f"http://site.example.org/{name}", f"<p>{name[500:]} some words</p>"), (2, "http://example.com/en/some", "<p>words</p>")], "page_id long, url string, html string")
+    start = time.time()
+    assert {r.page_id: r.rule for r in U.judge_urls(pages, [("block", "example.com/en/")]).collect()} == {1: None, 2: "example.com/en/"}
+    assert time.time() - start < 120
