@@ -13,16 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.joins import lookup
-from sparkloom.staging import materialize, scratch
+from sparkloom.staging import BROADCAST_BYTES, materialize, scratch
 
 #: A solve ends when the residual's size is this share of the right-hand side's; rounds of the active set.
 TOLERANCE, ACTIVE_ROUNDS = 1e-10, 30
+#: Of an entry of a vector, about.
+VECTOR_BYTES = 24
 
 
-def product(matrix: DataFrame, vector: DataFrame, value: str) -> DataFrame:
-    """(i, ax): the matrix times a column of ``vector`` (i, value)."""
+def product(matrix: DataFrame, vector: DataFrame, value: str, small: bool = False) -> DataFrame:
+    """(i, ax): the matrix times a column of ``vector`` (i, value), which is broadcast if its size was found ``small``."""
     v = vector.select(F.col("i").alias("j"), F.col(value).alias("__x"))
-    return lookup(matrix, v, "j", row_bytes=24).groupBy("i").agg(F.sum(F.col("a") * F.col("__x")).alias("ax"))
+    met = matrix.join(F.broadcast(v), "j") if small else lookup(matrix, v, "j", row_bytes=VECTOR_BYTES)
+    return met.groupBy("i").agg(F.sum(F.col("a") * F.col("__x")).alias("ax"))
 
 
 def _dot(state: DataFrame, *pairs: str) -> list[float]:
@@ -46,15 +49,16 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, start: DataFrame | No
         begin = begin.join(start, "i", "left") if start is not None else begin.withColumn("x", F.lit(0.0))
         begin = begin.join(diagonal, "i", "left").select("i", "b", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"), F.coalesce("d", F.lit(1.0)).alias("d"), (F.lit(True) if free is None else F.coalesce(free, F.lit(True))).alias("free"))
         begin = materialize(begin, "cg")
+        small = begin.count() * VECTOR_BYTES <= BROADCAST_BYTES
         residual = F.when(F.col("free"), F.col("b") - F.coalesce("ax", F.lit(0.0))).otherwise(0.0)
-        state = begin.join(product(m, begin, "x"), "i", "left").select("i", "x", "d", "free", residual.alias("r"))
+        state = begin.join(product(m, begin, "x", small), "i", "left").select("i", "x", "d", "free", residual.alias("r"))
         state = materialize(state.withColumn("p", F.col("r") / F.col("d")), "cg")
         rz, rr = _dot(state, "r * r / d", "r * r")
         (size,) = _dot(begin, "b * b")
         for _ in range(steps):
             if not rr > tolerance**2 * max(size, 1e-300):
                 break
-            moved = state.join(product(m, state, "p"), "i", "left").withColumn("ap", F.when(F.col("free"), F.coalesce("ax", F.lit(0.0))).otherwise(0.0)).drop("ax")
+            moved = state.join(product(m, state, "p", small), "i", "left").withColumn("ap", F.when(F.col("free"), F.coalesce("ax", F.lit(0.0))).otherwise(0.0)).drop("ax")
             moved = materialize(moved, "cg")
             (bent,) = _dot(moved, "p * ap")
             if not bent > 0:

@@ -20,25 +20,25 @@ def system(spark, n, seed=0):
 
 
 def test_conjugate_gradients(spark):
-    m, b, matrix, rhs = system(spark, 12)
+    m, b, matrix, rhs = system(spark, 8)
     x = np.array([r.x for r in sorted(solve.conjugate_gradients(matrix, rhs).collect())])
     assert np.abs(m @ x - b).max() < 1e-8 and np.allclose(x, np.linalg.solve(m, b))
     start = spark.createDataFrame([(i, float(v), i % 4 != 0) for i, v in enumerate(x + 1)], "i long, x double, open boolean")
     warm = np.array([r.x for r in sorted(solve.conjugate_gradients(matrix, rhs, start, F.col("open")).collect())])
-    held = np.arange(12) % 4 == 0
+    held = np.arange(8) % 4 == 0
     assert np.array_equal(warm[held], (x + 1)[held]) and np.abs((m @ warm - b)[~held]).max() < 1e-8
     zero = solve.conjugate_gradients(matrix, rhs.withColumn("b", F.lit(0.0)))
     assert {r.x for r in zero.collect()} == {0.0}
 
 
 def test_bounds_hold_and_the_gradient_agrees(spark):
-    m, b, matrix, rhs = system(spark, 9, 3)
+    m, b, matrix, rhs = system(spark, 6, 3)
     found = sorted(solve.bounded_solve(matrix, rhs, F.lit(-0.1), F.when(F.col("i") != 2, 0.15)).collect())
     x, g = np.array([r.x for r in found]), None
     g = m @ x - b
-    top = np.where(np.arange(9) == 2, np.inf, 0.15)
+    top = np.where(np.arange(6) == 2, np.inf, 0.15)
     assert (x >= -0.1 - 1e-12).all() and (x <= top + 1e-12).all() and any(r.held for r in found)
-    for i in range(9):
+    for i in range(6):
         assert abs(g[i]) < 1e-7 or (x[i] == -0.1 and g[i] > 0) or (x[i] == top[i] and g[i] < 0)
 
 

@@ -60,7 +60,7 @@ def test_planted_moves_are_recovered(spark):
     planted = [(0.0, 0.0, 3.4, 0.0, 0.0, -2.6), (0.02, -0.03, 1.5, 0.03, -0.01, 2.2)]
     fixed = [scene(y + d * xc + e * yc + f, x + a * xc + b * yc + c) + 0.05 for a, b, c, d, e, f in planted]
     fixed[1][10:25, 40:60] += 0.4  # a part that is not in the other raster
-    got = {r.k: r for r in align.align(cells(spark, *fixed), cells(spark, *[scene(y, x)] * 2), h, w, ["k"]).collect()}
+    got = {r.k: r for r in align.align(cells(spark, *fixed), cells(spark, *[scene(y, x)] * 2), h, w, ["k"], steps=5).collect()}
     for k, (a, b, c, d, e, f) in enumerate(planted):
         r = got[k]
         for py, px in ((0, 0), (0, w - 1), (h - 1, 0), (h - 1, w - 1), (h / 2, w / 2)):
