@@ -17,21 +17,24 @@ _SEARCH = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id,
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) """
 
 
-def _scored(spark, d):
-    return search.scores(load(spark, d, "embeddings"), c("vec_id") % 20 == 0)
+def _sides(spark, d):
+    """The queries and all rows."""
+    v = load(spark, d, "embeddings")
+    return search.rows_of(v.where(c("vec_id") % 20 == 0), "query_id"), search.rows_of(v)
 
 
 @query("scene_search_topk", _SEARCH + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 3")
 def _(spark, d):
-    return search.top_k(_scored(spark, d), 3).select("query_id", c("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+    return search.nearest(*_sides(spark, d), 3).select("query_id", c("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("scene_search_z", _SEARCH + """, z AS (SELECT query_id, avg(score) AS m, stddev_pop(score) AS sd, count(*) AS n FROM s GROUP BY 1)
     SELECT r.query_id, rank, vec_id, round(CASE WHEN n >= 3 AND sd > 0 THEN (score - m) / sd ELSE score END, 4) AS z
     FROM r JOIN z USING (query_id) WHERE rank <= 4""")
 def _(spark, d):
-    z = stats.z_scores(_scored(spark, d), "query_id", "score")
-    return search.top_k(z, 4).select("query_id", c("rank").cast("long").alias("rank"), "vec_id", F.round("z", 4).alias("z"))
+    q, v = _sides(spark, d)
+    z = F.round((c("score") - c("center")) / c("spread"), 4).alias("z")
+    return search.nearest(q, v, 4).join(search.moments(q, v), "query_id").select("query_id", c("rank").cast("long").alias("rank"), "vec_id", z)
 
 
 _FAR = "NOT EXISTS (SELECT 1 FROM {t} t JOIN embeddings a ON a.vec_id = t.vec_id JOIN embeddings b ON b.vec_id = s.vec_id WHERE t.query_id = s.query_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2)"
@@ -42,16 +45,14 @@ _FAR = "NOT EXISTS (SELECT 1 FROM {t} t JOIN embeddings a ON a.vec_id = t.vec_id
     three AS (SELECT query_id, 3 AS rank, vec_id, score FROM s WHERE {_FAR.format(t='pair')} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1)
     SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (FROM pair UNION ALL FROM three)""")
 def _(spark, d):
-    v = load(spark, d, "embeddings")
-    return search.diverse_top_k(_scored(spark, d), v, k=3, near=0.2).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return search.diverse(*_sides(spark, d), k=3, near=0.2).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("mutual_nn", _SEARCH + """, a AS (SELECT query_id, vec_id, score FROM r WHERE rank = 1),
     b AS (SELECT vec_id, query_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, query_id) AS k FROM s)
     SELECT a.query_id AS a, a.vec_id AS b, round(a.score, 6) AS score FROM a JOIN b ON a.query_id = b.query_id AND a.vec_id = b.vec_id AND b.k = 1""")
 def _(spark, d):
-    pairs = _scored(spark, d).select(c("query_id").alias("a"), c("vec_id").alias("b"), "score")
-    return search.mutual_nearest(pairs).select("a", "b", F.round("score", 6).alias("score"))
+    return search.mutual_nearest(*_sides(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 _HIST = """h AS (SELECT least(greatest(floor(255 * l_extendedprice / 110000), 0), 255)::INT AS bin FROM lineitem WHERE l_extendedprice IS NOT NULL)"""
