@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import search
+from sparkloom.operators import pairing, search
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,13 @@ def test_mutual_nearest(table):
     ahead = {q: min(x, key=lambda i: (-x[i], i)) for q, x in s.items()}
     back = {b: min((q for q in s if q != b), key=lambda q: (-s[q][b], q)) for b in ahead.values()}
     assert {(x.a, x.b) for x in search.mutual_nearest(*sides(df)).collect()} == {(a, b) for a, b in ahead.items() if back[b] == a}
+
+
+def test_retrieve_weighted(table):
+    v, df = table
+    want = set()
+    for q, s in scored(v).items():
+        gaps = [abs(q - i) for i in s]
+        cost = {i: 1 - c + 0.3 * (abs(q - i) - np.mean(gaps)) / np.std(gaps) for i, c in s.items()}
+        want |= {(q, k + 1, i) for k, i in enumerate(sorted(cost, key=lambda i: (round(cost[i], 12), i))[:4])}
+    assert {(x.query_id, x["rank"], x.vec_id) for x in pairing.retrieve_weighted(*sides(df), lambda a, b: abs(a - b), 0.3).collect()} == want
