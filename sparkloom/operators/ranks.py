@@ -53,14 +53,19 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
 
 
 def between(rows: DataFrame, keys: list[str], order: list[str], mark: str) -> DataFrame:
-    """``rows`` with ``lo`` and ``hi``: the nearest value of ``mark`` that is not null at or before a row of its key, and at or after it."""
+    """``rows`` with ``lo`` and ``hi``: the nearest value of ``mark`` that is not null at or before a row of its key, and at or after it.
+
+    Both are running windows, ``hi`` in falling order: a frame that ends with
+    the key is read anew for every row, which costs the square of its rows.
+    Marked rows of one key that are equal in ``order`` may stand for each other.
+    """
     table = _ranged(rows, keys, order, "ranged")
     at = F.when(F.col(mark).isNotNull(), F.struct(*order))
     parts = table.groupBy(_PART, *keys).agg(F.min_by(mark, at).alias("first__s"), F.max_by(mark, at).alias("last__s"))
-    key = W.partitionBy(*keys).orderBy(_PART)
-    carry = parts.select(_PART, *keys, F.last("last__s", True).over(key.rowsBetween(W.unboundedPreceding, -1)).alias("lo__c"), F.first("first__s", True).over(key.rowsBetween(1, W.unboundedFollowing)).alias("hi__c"))
-    inside = W.partitionBy(_PART, *keys).orderBy(*order)
-    table = table.select("*", F.last(mark, True).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("lo__i"), F.first(mark, True).over(inside.rowsBetween(0, W.unboundedFollowing)).alias("hi__i"))
+    key, inside = W.partitionBy(*keys), W.partitionBy(_PART, *keys)
+    so_far = lambda c, w, to: F.last(c, True).over(w.rowsBetween(W.unboundedPreceding, to))
+    carry = parts.select(_PART, *keys, so_far("last__s", key.orderBy(_PART), -1).alias("lo__c"), so_far("first__s", key.orderBy(F.desc(_PART)), -1).alias("hi__c"))
+    table = table.select("*", so_far(mark, inside.orderBy(*order), 0).alias("lo__i"), so_far(mark, inside.orderBy(*map(F.desc, order)), 0).alias("hi__i"))
     out = _with_carry(table, carry, keys)
     return out.select(*rows.columns, F.coalesce("lo__i", "lo__c").alias("lo"), F.coalesce("hi__i", "hi__c").alias("hi"))
 
