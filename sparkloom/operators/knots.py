@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators import ranks
+
 
 def monotone_slopes(knots: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, x, y, slope): slopes of the cubic Hermite curve that never leaves the range of neighbouring knots.
@@ -33,13 +35,12 @@ def monotone_slopes(knots: DataFrame, key: str, x: str, y: str) -> DataFrame:
 def hermite_at(sloped: DataFrame, probes: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, x, value) at each distinct probe, of the curve of `monotone_slopes`; beyond the ends the end's value.
 
-    Keys without knots have null. One union and one window per key.
+    Keys without knots have null. One union, put in order in ranges.
     """
     at = F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y"), F.col("slope").alias("m"))
     k = sloped.select(key, F.col(x).cast("double").alias(x), F.lit(0).alias("__probe"), at.alias("__k"))
     q = probes.select(key, F.col(x).cast("double").alias(x)).distinct().select(key, x, F.lit(1).alias("__probe"), F.lit(None).cast(k.schema["__k"].dataType).alias("__k"))
-    w = W.partitionBy(key).orderBy(x, "__probe")
-    both = k.unionByName(q).withColumn("lo", F.last("__k", True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("hi", F.first("__k", True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    both = ranks.between(k.unionByName(q), [key], [x, "__probe"], "__k")
     cut = both.where("__probe = 1").withColumn("h", F.expr("hi.x - lo.x")).withColumn("t", (F.col(x) - F.col("lo.x")) / F.col("h"))
     curve = F.expr("(1 + 2 * t) * (1 - t) * (1 - t) * lo.y + t * (1 - t) * (1 - t) * h * lo.m + t * t * (3 - 2 * t) * hi.y + t * t * (t - 1) * h * hi.m")
     value = F.when(F.col("lo").isNull(), F.col("hi.y")).when(F.col("hi").isNull(), F.col("lo.y")).otherwise(curve)

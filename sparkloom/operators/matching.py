@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators import ranks
+
 
 def preference_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[tuple[Column, Column]]) -> DataFrame:
     """For each left row the right row of the first tier that matches; (left id, right id, tier from 1).
@@ -38,13 +40,12 @@ def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str, prefix: str
 def bracket_lerp(points: DataFrame, probes: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Value at each probe between the points on either side, linear in x; the nearest point's value beyond the ends.
 
-    A probe at a point has its value. One union and one window per key; no range join.
+    A probe at a point has its value. One union, put in order in ranges; no range join.
     """
     p = points.groupBy(key, x).agg(F.max(y).alias("y")).select(key, x, "y", F.lit(0).alias("probe"))
     q = probes.select(key, x, F.lit(None).cast("double").alias("y"), F.lit(1).alias("probe")).distinct()
     at = F.when(F.col("probe") == 0, F.struct(F.col(x).alias("x"), F.col("y").cast("double").alias("y")))
-    w = W.partitionBy(key).orderBy(x, "probe")
-    both = p.unionByName(q).withColumn("lo", F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("hi", F.first(at, True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    both = ranks.between(p.unionByName(q).withColumn("at", at), [key], [x, "probe"], "at")
     lo, hi = F.col("lo"), F.col("hi")
     part = (F.col(x) - lo["x"]) / (hi["x"] - lo["x"])
     value = F.when(lo.isNull(), hi["y"]).when(hi.isNull() | (lo["x"] == F.col(x)), lo["y"]).otherwise(lo["y"] + part * (hi["y"] - lo["y"]))

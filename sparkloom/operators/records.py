@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators import ranks
+
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, x: str, left_id: str, right_id: str, most: float) -> DataFrame:
     """(left id, right id, distance): for each left row the right row of its key with the nearest x, at most ``most`` away.
 
     Ties go to the smaller x, then to the smaller right id. Rows with a null
-    key or x find nothing and are not found. One union and one window per key,
-    so the work does not grow with the pairs of a key.
+    key or x find nothing and are not found. The sides are put in one order, in
+    ranges (`ranks.between`), so the work does not grow with the pairs of a key.
     """
     r = right.where(F.col(key).isNotNull() & F.col(x).isNotNull()).groupBy(key, x).agg(F.min(right_id).alias("__r"))
     side = F.struct(F.col(x).alias("x"), F.col("__r").alias("id"))
     both = r.select(key, x, F.lit(0).alias("__probe"), F.lit(None).cast(left.schema[left_id].dataType).alias("__l"), side.alias("__s"))
     probes = left.where(F.col(key).isNotNull() & F.col(x).isNotNull())
     both = both.unionByName(probes.select(key, x, F.lit(1).alias("__probe"), F.col(left_id).alias("__l"), F.lit(None).cast(both.schema["__s"].dataType).alias("__s")))
-    w = W.partitionBy(key).orderBy(x, "__probe")
-    both = both.withColumn("lo", F.last("__s", True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("hi", F.first("__s", True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    both = ranks.between(both, [key], [x, "__probe"], "__s")
     below, above = F.col(x) - F.col("lo.x"), F.col("hi.x") - F.col(x)
     low = F.col("hi").isNull() | (below <= above)
     out = both.where("__probe = 1").select(F.col("__l").alias(left_id), F.when(low, F.col("lo.id")).otherwise(F.col("hi.id")).alias(right_id), F.when(low, below).otherwise(above).alias("distance"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import fits, measures, ranks, stats
+from sparkloom.operators import fits, matching, measures, ranks, records, stats
 
 SCHEMA = "k string, v double, w double"
 
@@ -104,3 +104,18 @@ def test_empty_tables(spark):
     assert ranks.interpolated_quantiles(df, "k", "v", F.col("w"), [0.5]).collect() == []
     assert ranks.deviations(df, "k", "v").collect() == [] and measures.mass_bands(df, "k", "v", "w", 3).collect() == []
     assert fits.quantile_map(df, df, "k", "v", F.col("w")).collect() == []
+
+
+def test_no_frame_is_read_anew_for_each_row(spark):
+    rows = spark.createDataFrame([(1, "k", float(i)) for i in range(50)], "id long, k string, x double")
+    found = [
+        ranks.between(rows, ["k"], ["x", "id"], "id"),
+        records.nearest_within(rows, rows.withColumnRenamed("id", "r"), "k", "x", "id", "r", 3.0),
+        matching.bracket_lerp(rows, rows, "k", "x", "x"),
+        fits.quantile_map(rows, rows, "k", "x", F.lit(1)),
+    ]
+    for df in found:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert all("__part" in line for line in windows)
