@@ -40,8 +40,8 @@ CLASSES, BINS, GROUPS = 64, 32, 512
 SMOOTH, AFTER_ID, AFTER_GROUP = 0.5, 20.0, 10.0
 #: Inputs a window sees, tokens it scores (the last ones), and the width of the model.
 WINDOW, STRIDE, WIDTH = 32, 24, 16
-#: Every so manyth window of each training text trains the attention, in so many rounds over different windows.
-TRAIN_EVERY, ROUNDS = 8, 4
+#: Every window of each training text trains the attention, in one of so many rounds.
+ROUNDS = 4
 #: Windows of a training task in a round, at least (fewer: one task).
 TASK_WINDOWS = 16_384
 #: Windows a step of Adam, its rate, and windows scored at a time.
@@ -388,38 +388,37 @@ def _tables(pairs: DataFrame, cells: Callable[[np.ndarray, np.ndarray], list[np.
     return np.split(out, first[1:-1])
 
 
+def round_windows(texts: list[np.ndarray], first: np.ndarray, k: int, end: int) -> Iterator[np.ndarray]:
+    """The windows of round ``k``, some at a time; each window of a text is in one of the `ROUNDS`, its first one in that of ``first``."""
+    w = Windows(texts, end)
+    some = np.flatnonzero((w.number + first[w.owner]) % ROUNDS == k)
+    for at in range(0, len(some), TASK_WINDOWS):
+        yield w.take(some[at : at + TASK_WINDOWS])
+
+
 def _train_attention(encoded: DataFrame, tables: Tables) -> Parameters:
     """Rounds in which each task descends from the same parameters over its windows; their mean, weighted by windows, begins the next round."""
     spark, end = encoded.sparkSession, len(tables.target) - 1
     sent = spark.sparkContext.broadcast(tables)
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = Windows(_ids(b.column(1)), end)
-            number = w.number + np.array(b.column(0).to_pylist(), dtype=np.int64)[w.owner]
-            some = np.flatnonzero(number % TRAIN_EVERY == 0)
-            rows = [r.tobytes() for r in w.take(some)]
-            yield pa.RecordBatch.from_arrays([pa.array(number[some] // TRAIN_EVERY % ROUNDS, pa.int32()), pa.array(rows, pa.binary())], names=["round", "window"])
-
-    # which windows: from a place that the text itself decides, so that short texts take part as often as long ones
-    hashed = F.pmod(F.xxhash64("ids"), F.lit(TRAIN_EVERY * ROUNDS)).alias("first")
-    windows = materialize(encoded.where("NOT held_out").select(hashed, "ids").mapInArrow(cut, "round int, window binary"), "windows")
-    p, tasks = fresh_parameters(), max(1, windows.count() // (ROUNDS * TASK_WINDOWS))
+    # which round trains on a window: from a place that the text itself decides, so that short texts take part as often as long ones
+    texts = encoded.where("NOT held_out").select(F.pmod(F.xxhash64("ids"), F.lit(ROUNDS)).alias("first"), "ids")
+    windows = texts.agg(F.coalesce(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / STRIDE)), F.lit(0))).first()[0]
+    p, tasks = fresh_parameters(), max(1, int(windows) // (ROUNDS * TASK_WINDOWS))
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat(p))
 
         def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, n = shaped(start.value), 0
             for b in batches:
-                rows = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint16).reshape(-1, WINDOW + 1)
-                if len(rows):
+                for rows in round_windows(_ids(b.column(1)), b.column(0).to_numpy(), k, end):
                     own = descend(own, sent.value, rows, n)
                     n += len(rows)
             values = flat(own)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values.astype(np.float64) * n), pa.array(np.full(len(values), n))], names=["at", "value", "n"])
 
-        sums = windows.where(F.col("round") == k).select("window").coalesce(tasks).mapInArrow(learn, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow().sort_by("at")
+        sums = texts.coalesce(tasks).mapInArrow(learn, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow().sort_by("at")
         if sums.num_rows:
             p = shaped(sums["value"].to_numpy())
         start.destroy()

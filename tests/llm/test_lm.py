@@ -160,3 +160,11 @@ def test_empty_and_untrained_tables(spark):
     held = next(i for i in range(100) if is_held_out(i))
     (r,) = lm.score(spark.createDataFrame([(held, "a b", 1, "w")], SCHEMA), *RANKS).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and np.isfinite(r.score) and r.score < 0
+
+
+def test_every_window_trains_once():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 50, n).astype(np.uint16) for n in (0, 1, 23, 24, 700, 5)]
+    rounds = [r for k in range(lm.ROUNDS) for r in lm.round_windows(texts, np.arange(6) % lm.ROUNDS, k, 50)]
+    every = lm.Windows(texts, 50).take(slice(None))
+    assert sorted(map(bytes, np.concatenate(rounds))) == sorted(map(bytes, every))
