@@ -47,3 +47,15 @@ def test_components(spark, monkeypatch, path):
 def test_the_library_imports_without_the_numbered_operators():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'scene_search_topk' in q and 'op1_simhash' not in q and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_few_rows_do_not_make_all_keys_frequent(spark, monkeypatch):
+    monkeypatch.setattr(joins.staging, "BROADCAST_BYTES", 10_000)
+    written = []
+    write = joins.staging.materialize
+    monkeypatch.setattr(joins.staging, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    left = spark.createDataFrame([(i, i % 20) for i in range(40)] + [(100 + i, 3) for i in range(30)], "id int, k int")
+    right = spark.createDataFrame([(k, f"w{k}" * 100) for k in range(20)], "k int, w string")
+    want = sorted(map(str, left.join(right, "k").collect()))
+    assert sorted(map(str, joins.lookup(left, right, "k", row_bytes=1000).collect())) == want
+    assert [[r.k for r in t.collect()] for t in written] == [[3]]
