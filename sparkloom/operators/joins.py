@@ -9,6 +9,8 @@ from sparkloom import staging
 
 #: A key is frequent if it has more than one in so many rows, or in as many as rows of the table may be broadcast; there are fewer frequent keys than this.
 HOT_SHARE = 5000
+#: Bytes of the rows of frequent keys that are broadcast, at most.
+HOT_BYTES = staging.BROADCAST_BYTES
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", row_bytes: int = 32) -> DataFrame:
@@ -18,7 +20,7 @@ def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str =
     bytes (``row_bytes`` each) is broadcast. Otherwise the table's rows of
     frequent keys are broadcast, so the rows with these keys stay where they
     are, and only the others are shuffled. A key counts as frequent only from a
-    share that holds these rows too under `staging.BROADCAST_BYTES`: of few
+    share that holds these rows under `HOT_BYTES`: of few
     ``rows`` every key has a large share. Null keys match nothing and are not
     shuffled either.
     """
@@ -27,7 +29,7 @@ def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str =
         return rows.join(F.broadcast(table), keys, how)
     present = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
     known, nulls = rows.where(present), rows.where(f"NOT ({present})")
-    most = min(HOT_SHARE, max(1, staging.BROADCAST_BYTES // row_bytes))
+    most = min(HOT_SHARE, max(1, HOT_BYTES // row_bytes))
     hot = known.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") * most > rows.count()).select(*keys)
     hot = staging.materialize(hot, "hot-keys")
     hot_rows = known.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, how)

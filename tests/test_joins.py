@@ -51,6 +51,7 @@ def test_the_library_imports_without_the_numbered_operators():
 
 def test_few_rows_do_not_make_all_keys_frequent(spark, monkeypatch):
     monkeypatch.setattr(joins.staging, "BROADCAST_BYTES", 10_000)
+    monkeypatch.setattr(joins, "HOT_BYTES", 10_000, raising=False)
     written = []
     write = joins.staging.materialize
     monkeypatch.setattr(joins.staging, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
