@@ -286,9 +286,33 @@ class Model:
     times: np.ndarray
     parameters: Parameters
 
+    @cached_property
+    def seen(self) -> tuple[np.ndarray, ...]:
+        """Of the table `within` what it takes to look cells up: a bit for each cell with a count, the counts before each 64 bits, the log shares of these cells, and the parts of all others."""
+        size, target = len(self.group), self.tables.target
+        group, of = np.divmod(self.cells, size)
+        raised = self.counts + SMOOTH
+        alone = AFTER_GROUP * raised / np.bincount(target, weights=raised, minlength=CLASSES)[target]
+        total = np.bincount(group * CLASSES + target[of], weights=self.times, minlength=GROUPS * CLASSES) + AFTER_GROUP
+        bits = np.zeros(-(-GROUPS * size // 64) * 8, np.uint8)
+        np.bitwise_or.at(bits, self.cells >> 3, np.uint8(1) << (self.cells & 7).astype(np.uint8))
+        bits = bits.view("<u8")
+        before = np.cumsum(np.bitwise_count(bits), dtype=np.int32) - np.bitwise_count(bits)
+        return bits, before, np.append(np.log((self.times + alone[of]) / total[group * CLASSES + target[of]]), 0).astype(np.float32), np.log(alone), np.log(total)
+
+    def inside(self, last: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The cells of `within` of the ids ``wanted`` after the ids ``last``, without that table: it has 100 MB."""
+        bits, before, shares, alone, total = self.seen
+        group = np.take(self.group, last)
+        cell = group * len(self.group) + wanted
+        word, at = np.take(bits, cell >> 6), (cell & 63).astype(np.uint64)
+        place = np.take(before, cell >> 6) + np.bitwise_count(word & ((np.uint64(1) << at) - np.uint64(1)))
+        other = np.take(alone, wanted) - np.take(total, group * CLASSES + np.take(self.tables.target, wanted))
+        return np.where(word >> at & np.uint64(1), np.take(shares, place), other)
+
     @cached_property
     def within(self) -> np.ndarray:
-        """Log shares of ids within their class after each group; only the counts are sent to the workers."""
+        """Log shares of ids within their class after each group: the whole table, by rows; `log10` looks its cells up by `inside`."""
         size = len(self.group)
         out = np.empty((GROUPS, size), dtype=np.float32)
         begins = np.searchsorted(self.cells, np.arange(GROUPS + 1) * size)
@@ -298,11 +322,14 @@ class Model:
             out[g] = id_shares(row, self.counts, self.tables.target)
         return out
 
+    @cached_property
+    def scaled(self) -> Tables:
+        """The tables with the shares as they enter the logits."""
+        return replace(self.tables, after=self.tables.after * self.parameters["s"] + self.parameters["b"])
+
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text, given as its ids without the end."""
-        end, p, size = len(self.group) - 1, self.parameters, len(self.group)
-        tables = replace(self.tables, after=self.tables.after * p["s"] + p["b"])
-        group = self.group * size
+        end, p, tables = len(self.group) - 1, self.parameters, self.scaled
         out = np.zeros(len(texts))
         ends = np.cumsum([len(t) for t in texts]) // TEXT_IDS
         for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
@@ -312,8 +339,7 @@ class Model:
                 x, z, y = tables.look_up(ids)
                 z += attend(p, x)[0].reshape(-1, WIDTH) @ p["U"]
                 last, wanted = ids[:, WINDOW - STRIDE : -1].ravel(), ids[:, WINDOW - STRIDE + 1 :].ravel()
-                inside = np.take(self.within.ravel(), np.take(group, last, mode="clip") + np.minimum(wanted, end))
-                found = log_shares(z, y)[0] + np.where(y.ravel() >= 0, inside, 0)
+                found = log_shares(z, y)[0] + np.where(y.ravel() >= 0, self.inside(np.minimum(last, end), np.minimum(wanted, end)), 0)
                 out[some] += np.bincount(w.owner[at : at + SCORED], weights=found.reshape(y.shape).sum(axis=1, dtype=np.float64), minlength=len(some))
         return out / np.log(10)
 

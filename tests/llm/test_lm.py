@@ -168,3 +168,17 @@ def test_every_window_trains_once():
     rounds = [r for k in range(lm.ROUNDS) for r in lm.round_windows(texts, np.arange(6) % lm.ROUNDS, k, 50)]
     every = lm.Windows(texts, 50).take(slice(None))
     assert sorted(map(bytes, np.concatenate(rounds))) == sorted(map(bytes, every))
+
+
+def test_shares_are_looked_up_without_the_whole_table():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 49, n).astype(np.uint16) for n in (0, 1, 500, 24)]
+    m = plain_model(texts)
+    target = np.append(rng.integers(0, 5, 49), lm.CLASSES - 1)
+    m = lm.Model(lm.Tables(target, m.tables.input, m.tables.after), np.append(np.arange(48) % 7 + 500, [511, 3]), m.counts, *np.unique(m.cells % 50 + (m.cells // 50 % 7 + 500) * 50, return_counts=True), m.parameters)
+    got = m.log10(texts)
+    assert "within" not in vars(m)
+    last, wanted = (a.ravel() for a in np.meshgrid(np.arange(50), np.arange(50)))
+    want = m.within[m.group[last], wanted]
+    assert np.allclose(m.inside(last, wanted), want, rtol=1e-6, atol=1e-6) and len(np.unique(want)) > 100
+    assert np.allclose(got, [plain_log10(m, t) for t in texts], atol=1e-3, rtol=1e-5)
