@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkloom.llm import exact_dedup, simhash
+from sparkloom.llm import exact_dedup, near_text, simhash
 
 TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "É é"), (7, "é é"), (8, "a b"), (None, "a b"), (9, "x y z w"), (9, "X y z w"), (10, "word " * 5000), (11, "İ"), (12, "a b c d")]
@@ -171,3 +171,22 @@ def test_hot_keys_are_joined_alike(spark, monkeypatch, share):
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(simhash.simhash_components(df)) == brute(rows)
     assert got(exact_dedup.exact_dedup(df)) == brute_exact(rows)
+
+
+def test_whole_sets_are_not_broadcast(spark, monkeypatch):
+    """One text with many near copies, and sets beyond the bound of broadcast tables: plans of the verification stay small."""
+    rng = random.Random(5)
+    base = [str(rng.randrange(10**6)) for _ in range(300)]
+    rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(0, 300, 5)] + [(1000 + i, " ".join(str(rng.randrange(10**6)) for _ in range(50))) for i in range(20)]
+    plans, write = [], near_text.materialize
+
+    def noted(df, name):
+        if name == "near-links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(near_text, "materialize", noted)
+    monkeypatch.setattr("sparkloom.staging.BROADCAST_BYTES", 0)
+    got = sorted(r.doc_id for r in near_text.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [0, *range(1000, 1020)]
+    assert plans and all("BroadcastExchange" not in p and p.count("SortMergeJoin") == 2 for p in plans)
