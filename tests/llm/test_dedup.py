@@ -178,15 +178,16 @@ def test_whole_sets_are_not_broadcast(spark, monkeypatch):
     rng = random.Random(5)
     base = [str(rng.randrange(10**6)) for _ in range(300)]
     rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(0, 300, 5)] + [(1000 + i, " ".join(str(rng.randrange(10**6)) for _ in range(50))) for i in range(20)]
-    plans, write = [], near_text.materialize
+    plans, write = {"near-links": [], "near-tried": []}, near_text.materialize
 
     def noted(df, name):
-        if name == "near-links":
-            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        if name in plans:
+            plans[name].append(df._jdf.queryExecution().executedPlan().toString())
         return write(df, name)
 
     monkeypatch.setattr(near_text, "materialize", noted)
     monkeypatch.setattr("sparkloom.staging.BROADCAST_BYTES", 0)
     got = sorted(r.doc_id for r in near_text.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [0, *range(1000, 1020)]
-    assert plans and all("BroadcastExchange" not in p and p.count("SortMergeJoin") == 2 for p in plans)
+    assert plans["near-links"] and all("BroadcastExchange" not in p and p.count("SortMergeJoin") == 2 for p in plans["near-links"])
+    assert plans["near-tried"] and all("Union" not in p for p in plans["near-tried"])  # one join with the heads, none for frequent keys beside it
