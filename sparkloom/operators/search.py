@@ -14,6 +14,8 @@ from sparkloom.staging import materialize, size_checked
 
 #: Queries and vectors that one task compares, the least vectors of a block, and the scores it holds at once.
 QUERY_BLOCK, VECTOR_BLOCK, LEAST_BLOCK, HELD = 8192, 16384, 2048, 1 << 22
+#: Rows of one of the two blocks that a task compares when all rows search among all.
+SELF_BLOCK = 32768
 #: Matrix products give scores this near to those summed in order; where that may matter the latter decide.
 SLACK = 1e-9
 
@@ -284,3 +286,79 @@ def mutual_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     found = b.join(size_checked(materialize(ahead.select(F.col("b").alias("vec_id")).distinct(), "mutual-found")), "vec_id", "left_semi")
     back = nearest(found.withColumnRenamed("vec_id", "query_id"), a.withColumnRenamed("query_id", "vec_id"), 1)
     return ahead.join(back.select(F.col("query_id").alias("b"), F.col("vec_id").alias("a")), ["a", "b"])
+
+
+def _best(at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the best score of each value of ``at``; NaN is the largest, ties go to the smaller id."""
+    order = np.lexsort((ids, -np.where(np.isnan(score), np.inf, score), at))
+    return order[np.diff(at[order], prepend=-1) > 0]
+
+
+def nearest_of_each(vectors: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score): for each row of ``vectors`` (vec_id, v) the row of another id with the largest cosine; ties to the smaller id.
+
+    Rows are dealt to blocks by a hash of their id, and a task compares two
+    blocks (or one with itself) in both directions, so each pair of rows is
+    compared once, and a row is sent once for each block. As in `nearest`, the
+    order of `dot` decides where matrix products are near each other.
+    """
+    spark, id_kind = vectors.sparkSession, vectors.schema["vec_id"].dataType.simpleString()
+    m, blocks = vectors.count(), 1
+    while blocks * SELF_BLOCK < m or (blocks * LEAST_BLOCK < m and blocks * (blocks + 1) < 8 * spark.sparkContext.defaultParallelism):
+        blocks += 1
+    kinds = f"query_id {id_kind}, vec_id {id_kind}, score double"
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own = table["block"].to_numpy() == key[0].as_py()
+        alone = key[0] == key[1]
+        left = table.filter(pa.array(own)).combine_chunks()
+        right = left if alone else table.filter(pa.array(~own)).combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": left["vec_id"][:0], "vec_id": right["vec_id"][:0], "score": pa.array([], pa.float64())})
+        li, ri = _ids(left, "vec_id"), _ids(right, "vec_id")
+        a = _Side(_matrix(left))
+        b = a if alone else _Side(_matrix(right))
+        plain = np.isfinite(a.unit).all() and np.isfinite(b.unit).all()
+        same = _same(li, ri) if alone else (np.zeros(0, int), np.zeros(0, int))  # equal ids are in one block
+        at, to, score, back = np.zeros(0, int), np.zeros(0, int), np.zeros(0), []
+        least, step = np.full(len(li), -np.inf), max(1, HELD // len(li))
+        for first in range(0, len(ri), step):
+            with np.errstate(all="ignore"):
+                s = a.unit @ b.unit[first : first + step].T
+            if not plain:
+                s[np.isnan(s)] = np.inf
+            part = slice(*np.searchsorted(same[1], (first, first + step)))
+            s[same[0][part], same[1][part] - first] = -np.inf
+            least = np.maximum(least, s.max(axis=1))
+            hit = s >= np.where(np.isinf(least), least, least - SLACK)[:, None]
+            if not alone:
+                most = s.max(axis=0)
+                hit |= s >= np.where(np.isinf(most), most, most - SLACK)
+            i, j = np.nonzero(hit)
+            real = s[i, j] > -np.inf
+            i, j = i[real], j[real] + first
+            exact = a.cosine(i, b, j)
+            if not alone:
+                k = _best(j, li[i], exact)
+                back.append((j[k], i[k], exact[k]))
+            at, to, score = np.concatenate([at, i]), np.concatenate([to, j]), np.concatenate([score, exact])
+            k = _best(at, ri[to], score)
+            at, to, score = at[k], to[k], score[k]
+        found = [pa.table({"query_id": left["vec_id"].take(pa.array(at)), "vec_id": right["vec_id"].take(pa.array(to)), "score": pa.array(score)})]
+        for j, i, exact in back:
+            found.append(pa.table({"query_id": right["vec_id"].take(pa.array(j)), "vec_id": left["vec_id"].take(pa.array(i)), "score": pa.array(exact)}))
+        return pa.concat_tables(found)
+
+    block, other = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = vectors.select("vec_id", "v", F.size("v").alias("dim"), block.alias("block"), other.alias("other"))
+    dealt = dealt.select("vec_id", "v", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "dim")
+    keys = ["one", "two", "dim"]
+    dealt = dealt.repartition(min(blocks * (blocks + 1) // 2, 4096), *keys)
+    return top_k(dealt.groupBy(*keys).applyInArrow(run, kinds), 1).drop("rank")
+
+
+def mutual_pairs(vectors: DataFrame) -> DataFrame:
+    """(a, b, score): rows of ``vectors`` (vec_id, v) that are each other's best of all rows but their own, in both orders; ties to the smaller id."""
+    best = materialize(nearest_of_each(vectors), "mutual-best")
+    ahead, back = best.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score"), best.select(F.col("query_id").alias("b"), F.col("vec_id").alias("a"))
+    return ahead.join(back, ["a", "b"])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import pairing, search
+from sparkloom.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +82,27 @@ def test_mutual_nearest(table):
     assert {(x.a, x.b) for x in search.mutual_nearest(*sides(df)).collect()} == {(a, b) for a, b in ahead.items() if back[b] == a}
 
 
+@pytest.mark.parametrize("block", [8, 1000])
+def test_mutual_pairs_of_all_rows(spark, table, monkeypatch, block):
+    monkeypatch.setattr(search, "SELF_BLOCK", block)
+    monkeypatch.setattr(search, "LEAST_BLOCK", block)
+    v, df = table
+    best = {q: min(x, key=lambda i: (-x[i], i)) for q, x in scored(v, 1).items()}
+    longer = spark.createDataFrame([(i, [1.0, float(i), 2.0, 0.5, 3.0]) for i in (70, 71)] + [(80, [2.0])], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.vec_id) for x in search.nearest_of_each(search.rows_of(df.union(longer))).collect()}
+    assert got == set(best.items()) | {(70, 71), (71, 70)}
+    pairs = {(x.a, x.b) for x in search.mutual_pairs(search.rows_of(df)).collect()}
+    assert pairs == {(a, b) for a, b in best.items() if best[b] == a} and any(a % 5 and b % 5 for a, b in pairs)
+    assert search.mutual_pairs(search.rows_of(df.limit(0))).collect() == []
+
+
+def test_mutual_query_looks_at_all_rows(spark, tmp_path):
+    """Rows 1 and 3 are each other's best, and the best of row 20 is row 1, which has a better one."""
+    rows = [(20, [1.0, 0.3]), (1, [1.0, 0.0]), (3, [1.0, 0.01]), (40, [-1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(x.a, x.b) for x in registry.QUERIES["mutual_nn"](spark, str(tmp_path)).collect()} == {(1, 3), (3, 1)}
+
+
 def test_retrieve_weighted(table):
     v, df = table
     want = set()
