@@ -13,7 +13,7 @@ HOT_SHARE = 5000
 HOT_BYTES = staging.BROADCAST_BYTES
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", row_bytes: int = 32) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", row_bytes: int = 32, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has at most one row per key; ``how`` is inner, left, left_semi or left_anti.
 
     Both are written tables, for both are read more than once. A table of few
@@ -22,7 +22,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str =
     are, and only the others are shuffled. A key counts as frequent only from a
     share that holds these rows under `HOT_BYTES`: of few
     ``rows`` every key has a large share. Null keys match nothing and are not
-    shuffled either.
+    shuffled either. ``counts`` (keys, __rows), a written table of how many of
+    ``rows`` have a key, saves counting them; keys that it lacks are not frequent.
     """
     keys = [keys] if isinstance(keys, str) else keys
     if table.count() * row_bytes <= staging.BROADCAST_BYTES:
@@ -30,7 +31,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str =
     present = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
     known, nulls = rows.where(present), rows.where(f"NOT ({present})")
     most = min(HOT_SHARE, max(1, HOT_BYTES // row_bytes))
-    hot = known.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") * most > rows.count()).select(*keys)
+    counts = known.groupBy(*keys).agg(F.count("*").alias("__rows")) if counts is None else counts
+    hot = counts.where(F.col("__rows") * most > rows.count()).select(*keys)
     hot = staging.materialize(hot, "hot-keys")
     hot_rows = known.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, how)
     out = known.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how).unionByName(hot_rows)

@@ -191,3 +191,40 @@ def test_whole_sets_are_not_broadcast(spark, monkeypatch):
     assert got == [0, *range(1000, 1020)]
     assert plans["near-links"] and all("BroadcastExchange" not in p and p.count("SortMergeJoin") == 2 for p in plans["near-links"])
     assert plans["near-tried"] and all("Union" not in p for p in plans["near-tried"])  # one join with the heads, none for frequent keys beside it
+
+
+def test_long_texts_are_told_apart_before_they_are_read(spark, monkeypatch):
+    """Long texts that share rare passages pass the small sketch; pairs on both sides of the bounds of size stay whole."""
+    rng, rows = random.Random(6), []
+    passage = ["p%d" % i for i in range(40)]
+    for i, n in enumerate([1500, 1500, 1600, 3000, 3200, 3100]):
+        rows.append((i, " ".join(passage + ["u%d" % rng.randrange(10**9) for _ in range(n)])))
+    for i, n in enumerate([620, 640, 2540, 2600]):
+        words = ["c%d_%d" % (i, j) for j in range(n + 30)]
+        rows += [(100 + 10 * i + k, " ".join(words[: n + 30 * k])) for k in range(2)]
+    read, write = [], near_text.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "near-full":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_text, "materialize", noted)
+    got = sorted(r.doc_id for r in near_text.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [0, 1, 2, 3, 4, 5, 100, 110, 120, 130]
+    assert sum(read) == 8
+
+
+def test_lookup_with_known_counts(spark, monkeypatch):
+    from sparkloom import staging
+    from sparkloom.operators import joins
+
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", 3)
+    rows = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 90), (3, 91), (None, 92)], "k int, v int")
+    table = spark.createDataFrame([(1,), (2,)], "k int")
+    monkeypatch.setattr(staging, "materialize", lambda df, name, f=staging.materialize: (hot.append(df.collect()), f(df, name))[1])
+    hot = []
+    got = joins.lookup(rows, table, "k", counts=spark.createDataFrame([(1, 20), (2, 1)], "k int, __rows long"))
+    assert sorted(r.v for r in got.collect()) == [*range(20), 90] and [[r.k for r in h] for h in hot] == [[1]]
